@@ -31,7 +31,9 @@ def unescape_html(text: Column) -> Column:
 
 def collapse_space(text: Column) -> Column:
     """White space runs become one blank; only the end is trimmed."""
-    return F.rtrim(F.regexp_replace(text, K.WHITESPACE_PATTERN, " "))
+    # the first class rules out ordinary letters in one step, which makes the scan several times faster
+    pattern = rf"[[\x00-\x20\x{{0080}}-\x{{FFFF}}]&&{K.WHITESPACE_PATTERN.rstrip('+')}]+"
+    return F.rtrim(F.regexp_replace(text, pattern, " "))
 
 
 def normalize_text(text: Column) -> Column:
@@ -58,6 +60,8 @@ _SOUND_MARKS = {"ﾞ": "゙", "ﾟ": "゚"}
 def fold_width(text: Column) -> Column:
     """Full-width ASCII to ASCII, half-width katakana to katakana (the compatibility forms of Unicode)."""
     narrow = _FULL_WIDTH + _HALF_KANA
+    # most texts have none of these characters, and looking is cheaper than translating
+    affected = text.rlike(r"[\x{FF01}-\x{FF9F}]")
     folded = F.translate(text, narrow, "".join(unicodedata.normalize("NFKC", c) for c in narrow))
     voiced = folded
     for kana in map(chr, range(0x30A1, 0x30FB)):
@@ -65,16 +69,18 @@ def fold_width(text: Column) -> Column:
             composed = unicodedata.normalize("NFC", kana + combining)
             if len(composed) == 1:
                 voiced = F.replace(voiced, F.lit(kana + mark), F.lit(composed))
-    return F.when(text.rlike("[ﾞﾟ]"), voiced).otherwise(folded)
+    return F.when(affected & text.rlike("[ﾞﾟ]"), voiced).when(affected, folded).otherwise(text)
 
 
 def _alternation(terms: Iterable[str]) -> str | None:
-    """Longest term first, so that the leftmost match is also the longest."""
+    """Pattern of the terms that splitting would break; longest first, so that the leftmost match is the longest."""
     parts = []
     for term in sorted({t.lower() for t in terms if t}, key=lambda t: (-len(t), t)):
+        if re.fullmatch(r"[a-z0-9_]+", term):
+            continue  # a word by itself anyway
         escaped = re.escape(term)
         if term.isascii():
-            escaped = rf"(?<![a-z0-9]){escaped}(?![a-z0-9])"
+            escaped = rf"(?<![\p{{L}}\p{{N}}_]){escaped}(?![\p{{L}}\p{{N}}_])"
         parts.append(escaped)
     return "|".join(parts) or None
 

@@ -18,7 +18,7 @@ from postflow import schemas
 from postflow.functions.keys import expire_at
 from postflow.functions.text import content_key, normalize_text, tokens
 from postflow.operators import filters
-from postflow.operators.skew import lookup_join
+from postflow.operators.skew import heavy_of, lookup_join
 
 LABELS = ("positive", "negative", "neutral", "mixed")
 
@@ -36,17 +36,11 @@ def analysis_struct(
     return F.struct(*[p.cast(f.dataType).alias(f.name) for p, f in zip(parts, fields)])
 
 
-def lexicon_sentiment(words: Column, positive: Sequence[str], negative: Sequence[str]) -> tuple[Column, Column]:
+def sentiment_of(pos: Column, neg: Column) -> tuple[Column, Column]:
     """``(sentiment, scores)`` from the number of positive and negative words.
 
     The surplus of one side, twice the balanced part (mixed) and one (neutral) share the score of one.
     """
-    pos = F.size(F.filter(words, lambda w: w.isin(*positive)))
-    neg = F.size(F.filter(words, lambda w: w.isin(*negative)))
-    return _sentiment_of(pos, neg)
-
-
-def _sentiment_of(pos: Column, neg: Column) -> tuple[Column, Column]:
     up, down, mixed = F.greatest(pos - neg, F.lit(0)), F.greatest(neg - pos, F.lit(0)), 2 * F.least(pos, neg)
     total = (up + down + mixed + 1).cast("double")
     sentiment = (
@@ -72,37 +66,35 @@ def lexicon_sentiment_table(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
     joined = texts.select("cache_key").join(sums, "cache_key", "left")
     pos, neg = (F.coalesce(F.col(c), F.lit(0)) for c in ("_pos", "_neg"))
-    sentiment, scores = _sentiment_of(pos, neg)
+    sentiment, scores = sentiment_of(pos, neg)
     return joined.select("cache_key", sentiment.alias("sentiment"), scores.alias("sentiment_score"))
 
 
-def pattern_entities(text: Column, dictionary: Mapping[str, str] = {}) -> Column:
-    """Default entity detection: mentions, numbers, ISO dates and dictionary terms of the text.
+def pattern_entities(text: Column, words: Column, dictionary: Mapping[str, str]) -> Column:
+    """Default entity detection: mentions, ISO dates, numbers, and the ``dictionary`` terms among ``words``.
 
     ``dictionary`` maps a term to its entity type.
     """
 
-    def found(pattern: str, kind: str, score: float) -> Column:
+    def tagged(found: Column, kind: str, score: float) -> Column:
         return F.transform(
-            F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)),
-            lambda t: F.struct(t.alias("text"), F.lit(kind).alias("type"), F.lit(score).alias("score")),
+            found, lambda t: F.struct(t.alias("text"), F.lit(kind).alias("type"), F.lit(score).alias("score"))
         )
 
+    def matches(pattern: str, kind: str, score: float) -> Column:
+        return tagged(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), kind, score)
+
     groups = [
-        found(r"@\w+", "PERSON", 0.99),
-        found(r"\b\d{4}-\d{2}-\d{2}\b", "DATE", 0.99),
-        found(r"\b\d+\b", "QUANTITY", 0.9),
+        matches(r"@\w+", "PERSON", 0.99),
+        matches(r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])", "DATE", 0.99),
+        matches(r"(?<!\w)\d+(?!\w)", "QUANTITY", 0.9),
     ]
     by_kind: dict[str, list[str]] = {}
     for term, kind in dictionary.items():
         by_kind.setdefault(kind, []).append(term)
     for kind, terms in by_kind.items():
-        hits = F.array_intersect(tokens(text, dictionary=terms), F.array(*[F.lit(t.lower()) for t in terms]))
-        groups.append(
-            F.transform(
-                hits, lambda t, k=kind: F.struct(t.alias("text"), F.lit(k).alias("type"), F.lit(0.95).alias("score"))
-            )
-        )
+        hits = F.array_intersect(words, F.array(*[F.lit(t.lower()) for t in terms]))
+        groups.append(tagged(hits, kind, 0.95))
     return F.concat(*groups)
 
 
@@ -114,13 +106,30 @@ class LexiconScorer:
     negative: Sequence[str]
     dictionary: Mapping[str, str] | None = None
 
-    def columns(self, text: Column, lang: Column) -> tuple[Column, Column]:
-        """``(result, ok)`` of a normalised text."""
-        supported = filters.is_supported_language(lang)
-        sentiment, scores = lexicon_sentiment(tokens(text), self.positive, self.negative)
-        entities = pattern_entities(text, self.dictionary or {})
-        full = analysis_struct(text, sentiment, scores, entities)
-        return F.when(supported, full).otherwise(analysis_struct(text)), supported
+    def score_missing(self, texts: DataFrame) -> DataFrame:
+        """Fills ``result`` where it is null and adds ``ok``: whether this run made a full result.
+
+        Column by column, because an expression that is used twice would be computed twice.
+        """
+        miss = F.col("result").isNull()
+        words = tokens(F.col("normalized_text"), dictionary=self.dictionary or ())
+        staged = texts.withColumn("ok", miss & filters.is_supported_language(F.col("language_code")))
+        staged = staged.withColumn("_words", F.when(F.col("ok"), words))
+        staged = staged.withColumns(
+            {
+                "_pos": F.size(F.filter("_words", lambda w: w.isin(*self.positive))),
+                "_neg": F.size(F.filter("_words", lambda w: w.isin(*self.negative))),
+                "_entities": F.when(
+                    F.col("ok"),
+                    pattern_entities(F.col("normalized_text"), F.col("_words"), self.dictionary or {}),
+                ),
+            }
+        )
+        sentiment, scores = sentiment_of(F.col("_pos"), F.col("_neg"))
+        full = analysis_struct(F.col("normalized_text"), sentiment, scores, F.col("_entities"))
+        result = F.when(F.col("ok"), full).when(miss, analysis_struct(F.col("normalized_text")))
+        filled = staged.withColumn("result", result.otherwise(F.col("result")))
+        return filled.drop("_words", "_pos", "_neg", "_entities")
 
 
 @dataclass(frozen=True)
@@ -141,19 +150,20 @@ class PandasScorer:
     translate_retries: int = K.TRANSLATE_RETRIES
 
     def score(self, misses: DataFrame) -> DataFrame:
-        """``(cache_key, normalized_text, language_code)`` to ``(cache_key, result, ok)``."""
-        rows = misses.select("cache_key", "normalized_text", "language_code")
+        """``(cache_key, normalized_text, language_code, posts)`` to ``(cache_key, result, ok, posts)``."""
+        rows = misses.select("cache_key", "normalized_text", "language_code", "posts")
         if self.partitions:
             rows = rows.repartition(self.partitions, "cache_key")
         flat = rows.mapInPandas(self._run, self._FLAT)
         scores = F.struct(*[F.col(n) for n in LABELS])
         result = analysis_struct(F.col("normalized_text"), F.col("sentiment"), scores, F.col("entities"))
         only_text = analysis_struct(F.col("normalized_text"))
-        return flat.select("cache_key", F.when(F.col("ok"), result).otherwise(only_text).alias("result"), "ok")
+        scored = F.when(F.col("ok"), result).otherwise(only_text).alias("result")
+        return flat.select("cache_key", scored, "ok", "posts")
 
     _FLAT = (
         "cache_key STRING, normalized_text STRING, sentiment STRING, positive DOUBLE, negative DOUBLE, "
-        "neutral DOUBLE, mixed DOUBLE, entities ARRAY<STRUCT<text: STRING, type: STRING, score: DOUBLE>>, ok BOOLEAN"
+        "neutral DOUBLE, mixed DOUBLE, entities ARRAY<STRUCT<text: STRING, type: STRING, score: DOUBLE>>, ok BOOLEAN, posts BIGINT"
     )
 
     def _run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,6 +198,7 @@ class PandasScorer:
                 out.loc[good, name] = mood[name].to_numpy()
             out.loc[good, "entities"] = pd.Series(list(found), index=good, dtype=object)
         out["ok"] = ok
+        out["posts"] = pdf["posts"]
         return out
 
 
@@ -214,15 +225,17 @@ def keyed_texts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 
 
 def distinct_texts(keyed: DataFrame) -> DataFrame:
-    """One row per key. The key ignores the language, so of several languages the first by name is used."""
-    return (
-        keyed.where(F.col("cache_key").isNotNull())
-        .groupBy("cache_key")
-        .agg(
-            F.any_value("normalized_text").alias("normalized_text"),
-            F.min("language_code").alias("language_code"),
-        )
+    """One row per key, with the number of ``posts`` that have it.
+
+    The key ignores the language, so of several languages the first by name is used. Rows without a key form
+    one group that is dropped after the aggregation: a filter below it would normalise every text twice.
+    """
+    groups = keyed.groupBy("cache_key").agg(
+        F.any_value("normalized_text").alias("normalized_text"),
+        F.min("language_code").alias("language_code"),
+        F.count(F.lit(1)).alias("posts"),
     )
+    return groups.where(F.col("normalized_text") != "")
 
 
 def valid_cache(cache: DataFrame, now: Column) -> DataFrame:
@@ -280,21 +293,19 @@ def analyze(
     else:
         looked_up = looked_up.withColumn("result", F.lit(None).cast(schemas.ANALYSIS))
     if isinstance(scorer, LexiconScorer):
-        result, ok = scorer.columns(F.col("normalized_text"), F.col("language_code"))
-        hit = F.col("result").isNotNull()
-        per_key = looked_up.select(
-            "cache_key",
-            F.when(hit, F.col("result")).otherwise(result).alias("result"),
-            (~hit & ok).alias("ok"),
-        )
-        per_key = save(per_key) if save else per_key
-        fresh = per_key
+        per_key = scorer.score_missing(looked_up).select("cache_key", "result", "ok", "posts")
+        per_key = fresh = save(per_key) if save else per_key
     else:
         hits, misses = split_hits(looked_up)
         fresh = scorer.score(misses)
         fresh = save(fresh) if save else fresh
-        per_key = hits.select("cache_key", "result").unionByName(fresh.select("cache_key", "result"))
-    joined = lookup_join(keyed, per_key.select("cache_key", "result"), "cache_key", "left", spread=_spread(df))
+        per_key = hits.select("cache_key", "result", "posts").unionByName(
+            fresh.select("cache_key", "result", "posts")
+        )
+    # saved counts name the hot texts for free; otherwise they are counted from the keys
+    heavy = heavy_of(per_key, "cache_key", "posts") if save else None
+    results = per_key.select("cache_key", "result")
+    joined = lookup_join(keyed, results, "cache_key", "left", heavy=heavy, spread=_spread(df))
     empty = F.when(F.col("normalized_text") == "", analysis_struct(F.col("normalized_text")))
     analysed = joined.withColumn("analysis", F.coalesce("result", empty)).select(*df.columns, "analysis")
     return analysed, cache_rows(fresh, now, days)

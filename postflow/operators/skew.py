@@ -18,12 +18,20 @@ def heavy_keys(
 
     Counting combines before its shuffle and reads only the key; the top list is kept per task.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    # count(key) is zero for the null key; a filter on the key would evaluate it twice
+    counts = df.groupBy(key).agg(F.count(F.col(key)).alias("_rows"))
+    return heavy_of(counts, key, "_rows", rows_per_salt, keys)
+
+
+def heavy_of(
+    counts: DataFrame, key: str, rows: str, rows_per_salt: int = ROWS_PER_SALT, keys: int = HEAVY_KEYS
+) -> DataFrame:
+    """The same from known counts per key."""
     return (
-        counts.where(F.col("_rows") > rows_per_salt)
-        .orderBy(F.desc("_rows"), F.asc(key))
+        counts.where(F.col(rows) > rows_per_salt)
+        .orderBy(F.desc(rows), F.asc(key))
         .limit(keys)
-        .select(key, F.ceil(F.col("_rows") / rows_per_salt).cast("int").alias("_salts"))
+        .select(key, F.ceil(F.col(rows) / rows_per_salt).cast("int").alias("_salts"))
     )
 
 

@@ -42,6 +42,7 @@ _SCORED = T.StructType(
         T.StructField("cache_key", _TEXT),
         T.StructField("result", schemas.ANALYSIS),
         T.StructField("ok", T.BooleanType()),
+        T.StructField("posts", T.LongType()),
     ]
 )
 
