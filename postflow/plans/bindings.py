@@ -26,13 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    # a pattern, because a stream takes a directory or a pattern but no single file
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
 def _string(col: Column) -> Column:
     return col.cast("string")
 
 
-def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with ``k`` out of their JSON and the document's text, language and source."""
-    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+def raw_posts(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events (also a stream of them) with ``k`` out of their JSON and the document's text, language and source."""
+    events = table(spark, sf_dir, "events") if events is None else events
+    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     documents = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("event_id"), "text", "lang", F.col("source").alias("label")
     )
@@ -143,7 +150,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in schemas.USER.fields])
 
 
-def bus_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bus_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Posts as bus events; the author travels in ``includes`` and is named after the id."""
     k = F.col("k")
     rule = F.struct(
@@ -161,7 +168,7 @@ def bus_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
     )
     included = F.col("event_type").isin("signup", "error")
-    return raw_posts(spark, sf_dir).select(
+    return raw_posts(spark, sf_dir, events).select(
         F.lit(K.BUS_SOURCE).alias("source"),
         F.when(included, K.DETAIL_INCLUDED).otherwise(K.DETAIL_POST).alias("detail_type"),
         F.try_to_timestamp(created_at()).alias("event_time"),

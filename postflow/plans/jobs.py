@@ -212,11 +212,9 @@ def ingest(
     """
     events = to_bus_events(envelopes)
     if dedupe_window:
-        keyed = events.withColumn("_id", F.col("data.id"))
-        # posts without a time keep a place of their own: the watermark cannot order them
-        events = dedupe_stream(
-            keyed.withColumn("_time", F.coalesce("event_time", F.current_timestamp())), "_id", dedupe_window, "_time"
-        ).drop("_id", "_time")
+        # repeats are recognised by arrival time: history replayed late must not count as late data
+        keyed = events.withColumns({"_id": F.col("data.id"), "_arrived": F.current_timestamp()})
+        events = dedupe_stream(keyed, "_id", dedupe_window, "_arrived").drop("_id", "_arrived")
     return run_batches(events, lambda batch, epoch: ingest_batch(batch, f"{name}.{epoch}", config), checkpoint, interval)
 
 

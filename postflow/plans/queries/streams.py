@@ -1 +1,153 @@
-"""To come."""
+"""Streaming forms: the tables replayed through file streams, results read back from the tables they end in."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postflow import schemas
+from postflow.operators.fanout import assemble_includes
+from postflow.plans import bindings as B
+from postflow.plans.jobs import IngestConfig, Warehouse, ingest, reindex_archive, reingest
+from postflow.plans.queries.enrich import SCORER
+from postflow.plans.queries.registry import POST, lexicon, norm, query
+from postflow.session import new_shared_path
+from postflow.sinks.archive import write_bronze
+from postflow.sinks.publish import start_republish
+from postflow.sinks.tables import KeyedTable
+from postflow.sources.envelopes import read_archive, read_archive_days, read_envelopes, to_bus_events
+from postflow.streaming import operators as O
+
+MICROS = "CAST(epoch_us(ts) AS BIGINT)"
+
+
+def _finish(stream):
+    stream.awaitTermination()
+    if stream.exception():
+        raise stream.exception()
+
+
+@query("SELECT event_id, ts FROM events")
+def stream_dedupe(spark, d):
+    """Two readers deliver every event; one copy gets through."""
+    events = B.stream(spark, d, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
+    twice = events.unionByName(B.stream(spark, d, "events").withColumn("event_time", F.col("ts").cast("timestamp")))
+    rows = O.dedupe_stream(twice, "event_id", "40 days").select("event_id", "ts")
+    out, checkpoint = new_shared_path(spark, "dedupe"), new_shared_path(spark, "checkpoint")
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+    _finish(writer.trigger(availableNow=True).start(out))
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@query(
+    f"""WITH v AS (SELECT user_id || '-' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 20) AS id, {MICROS} AS updated_at,
+  CAST(floor(value) AS BIGINT) AS likes FROM events)
+SELECT id, max(updated_at) AS updated_at, arg_max(likes, updated_at) AS likes FROM v GROUP BY 1"""
+)
+def stream_merge(spark, d):
+    """Latest-wins metrics of a stream."""
+    zero = F.lit(0).cast("bigint")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    updates = B.stream(spark, d, "events").select(
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), (k % 20).cast("string")).alias("id"),
+        F.struct(
+            zero.alias("retweet_count"), zero.alias("reply_count"), F.floor("value").alias("like_count"), zero.alias("quote_count")
+        ).alias("public_metrics"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_at"),
+    )
+    schema = spark.createDataFrame(
+        [], updates.schema.add("text", "string").add("bucket", "string")
+    ).schema
+    table = KeyedTable(new_shared_path(spark, "state"), schema, "bucket")
+    _finish(O.merge_stream(updates, table, new_shared_path(spark, "checkpoint"), buckets=16))
+    return table.read(spark).select("id", "updated_at", F.col("public_metrics.like_count").alias("likes"))
+
+
+@query(f"{POST} SELECT id, text, strftime(t, '%Y') AS year, strftime(t, '%m') AS month, strftime(t, '%d') AS day FROM post WHERE t IS NOT NULL")
+def stream_archive(spark, d):
+    """Events to gzip JSON by day, read back from the archive."""
+    events = B.bus_events(spark, d, B.stream(spark, d, "events"))
+    out = new_shared_path(spark, "bronze")
+    _finish(O.archive_stream(events, out, new_shared_path(spark, "checkpoint"), interval=None))
+    rows = read_archive_days(spark, out, "2019-01-01", "2024-12-31")
+    return rows.select(F.col("data.id").alias("id"), F.col("data.text").alias("text"), "year", "month", "day")
+
+
+@query(f"{POST} SELECT id, CAST(t IS NULL AS INT) AS failed FROM post")
+def batch_archive(spark, d):
+    """One batch to the archive and its error branch, written twice as after a retry."""
+    out, errors = new_shared_path(spark, "bronze"), new_shared_path(spark, "errors")
+    events = B.bus_events(spark, d)
+    for _ in range(2):
+        write_bronze(events, out, "b0", errors)
+    good = read_archive(spark, out).select(F.col("data.id").alias("id"), F.lit(0).alias("failed"))
+    bad = read_archive(spark, errors).select(F.col("data.id").alias("id"), F.lit(1).alias("failed"))
+    return good.unionByName(bad)
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, event_type AS key, count(*) AS doc_count FROM events GROUP BY 1, 2")
+def stream_histogram(spark, d):
+    events = B.stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("created_at"), "event_type")
+    counts = O.histogram_stream(events, "1 day", by="event_type")
+    out = new_shared_path(spark, "histogram")
+
+    def replace(batch, _epoch):
+        batch.write.mode("overwrite").parquet(out)
+
+    writer = counts.writeStream.outputMode("complete").foreachBatch(replace)
+    writer = writer.option("checkpointLocation", new_shared_path(spark, "checkpoint"))
+    _finish(writer.trigger(availableNow=True).start())
+    rows = spark.read.schema(counts.schema).parquet(out)
+    return rows.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+def _thread_envelopes(spark, d):
+    """Envelopes of all conversation turns as JSON files."""
+    envelopes = assemble_includes(B.thread_posts(spark, d), users=B.thread_users(spark, d))
+    rule = F.array(F.struct(F.lit("r1").alias("id"), F.lit("t").alias("tag")))
+    out = new_shared_path(spark, "envelopes")
+    envelopes.withColumn("matching_rules", rule).write.option("compression", "gzip").json(out)
+    return out
+
+
+_TURNS = f"""WITH src AS (SELECT conv_id || '-' || turn AS id, {norm('text')} AS norm, 'en' AS code FROM conversations), {lexicon('', 'src')}
+SELECT src.id, src.norm AS normalized_text, s.sentiment, '2024-02' AS month FROM src LEFT JOIN scored s ON s.cache_key = sha256(src.norm)"""
+
+
+def _gold(house, spark):
+    return house.gold.read(spark).select(
+        "id", "normalized_text", F.col("comprehend.sentiment").alias("sentiment"), "month"
+    )
+
+
+@query(_TURNS)
+def stream_ingest(spark, d):
+    """The whole way: envelope files, de-duplication, archive, fan-out, analysis, state, documents."""
+    house = Warehouse(new_shared_path(spark, "warehouse"), buckets=16)
+    envelopes = read_envelopes(spark, _thread_envelopes(spark, d), streaming=True)
+    config = IngestConfig(house, SCORER)
+    _finish(ingest(envelopes, config, new_shared_path(spark, "checkpoint")))
+    return _gold(house, spark)
+
+
+@query(_TURNS)
+def reindex_from_archive(spark, d):
+    """Archived envelopes straight to documents."""
+    house = Warehouse(new_shared_path(spark, "warehouse"), buckets=16)
+    reindex_archive(spark, _thread_envelopes(spark, d), house, SCORER, "reindex.0")
+    return _gold(house, spark)
+
+
+@query("SELECT conv_id || '-' || turn AS key, CAST(conv_id AS VARCHAR) AS conv FROM conversations")
+def reingest_from_archive(spark, d):
+    records = reingest(spark, _thread_envelopes(spark, d))
+    data = F.from_json("value", schemas.ENVELOPE)["data"]
+    return records.select("key", data["conversation_id"].alias("conv"))
+
+
+@query("SELECT conv_id || '-' || turn AS key FROM conversations")
+def stream_republish(spark, d):
+    """Archived envelopes re-published as key and value records."""
+    envelopes = to_bus_events(read_envelopes(spark, _thread_envelopes(spark, d), streaming=True))
+    out, checkpoint = new_shared_path(spark, "republished"), new_shared_path(spark, "checkpoint")
+    _finish(start_republish(envelopes, out, checkpoint, available_now=True))
+    return spark.read.schema("key STRING, value STRING").json(out).select("key")
