@@ -87,7 +87,7 @@ def pattern_entities(text: Column, words: Column, dictionary: Mapping[str, str])
     groups = [
         matches(r"@\w+", "PERSON", 0.99),
         matches(r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])", "DATE", 0.99),
-        matches(r"(?<!\w)\d+(?!\w)", "QUANTITY", 0.9),
+        matches(r"(?<![\w-])\d+(?![\w-])", "QUANTITY", 0.9),
     ]
     by_kind: dict[str, list[str]] = {}
     for term, kind in dictionary.items():

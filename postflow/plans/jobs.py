@@ -156,6 +156,8 @@ def ingest_batch(events: DataFrame, tag: str, config: IngestConfig) -> None:
     now = F.current_timestamp() if config.now is None else config.now
     events = stamp_arrival(events).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if events.isEmpty():  # a stream with state also runs batches without data
+            return
         if config.archive:
             write_bronze(filters.archivable(events), house.bronze, tag, house.bronze_errors)
         before = house.state.read(spark, before=tag)

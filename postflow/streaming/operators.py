@@ -87,7 +87,7 @@ def merge_stream(
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark, tag = batch.sparkSession, f"{name}.{epoch}"
-        if table.version_of(spark, tag) is not None:
+        if table.version_of(spark, tag) is not None or batch.isEmpty():
             return
         bucketed = batch.withColumn(table.partition, id_bucket(F.col("id"), buckets))
         stored = table.touched(table.read(spark, before=tag), bucketed)
