@@ -18,7 +18,7 @@ from postflow import schemas
 from postflow.functions.keys import expire_at
 from postflow.functions.text import content_key, normalize_text, tokens
 from postflow.operators import filters
-from postflow.operators.skew import heavy_of, lookup_join
+from postflow.operators.skew import heavy_of, lookup_join, small_lookup
 
 LABELS = ("positive", "negative", "neutral", "mixed")
 
@@ -60,7 +60,7 @@ def lexicon_sentiment_table(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     words = texts.select("cache_key", F.explode(tokens(F.col("normalized_text"))).alias("word"))
     polarity = lexicon.groupBy("word").agg(F.min("polarity").alias("polarity"))
-    hits = lookup_join(words, polarity, "word", "inner", spread=[F.col("cache_key")])
+    hits = small_lookup(words, polarity, "word", "inner", spread=[F.col("cache_key")])
     sums = hits.groupBy("cache_key").agg(
         F.count_if(F.col("polarity") > 0).alias("_pos"), F.count_if(F.col("polarity") < 0).alias("_neg")
     )
@@ -227,15 +227,19 @@ def keyed_texts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 def distinct_texts(keyed: DataFrame) -> DataFrame:
     """One row per key, with the number of ``posts`` that have it.
 
-    The key ignores the language, so of several languages the first by name is used. Rows without a key form
-    one group that is dropped after the aggregation: a filter below it would normalise every text twice.
+    The key ignores the language, so of several languages the first by name is used. The conditions stand on
+    aggregated values on purpose: on the key they would move below the aggregation and normalise every text
+    twice (rows without a key are one group that is dropped here), and they keep all columns alive, so that
+    every use of this frame has the same shuffle and Spark runs it once.
     """
-    groups = keyed.groupBy("cache_key").agg(
+    groups = keyed.groupBy(F.col("cache_key").alias("_group")).agg(
+        F.any_value("cache_key").alias("cache_key"),
         F.any_value("normalized_text").alias("normalized_text"),
         F.min("language_code").alias("language_code"),
         F.count(F.lit(1)).alias("posts"),
     )
-    return groups.where(F.col("normalized_text") != "")
+    kept = (F.col("normalized_text") != "") & F.col("language_code").isNotNull() & (F.col("posts") > 0)
+    return groups.where(kept).drop("_group")
 
 
 def valid_cache(cache: DataFrame, now: Column) -> DataFrame:
@@ -246,7 +250,9 @@ def valid_cache(cache: DataFrame, now: Column) -> DataFrame:
 
 def lookup_cache(texts: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     """``texts`` (one row per key) with ``result``, null for a miss."""
-    return texts.join(valid_cache(cache, now), "cache_key", "left")
+    # only entries that are asked for are compared with each other; the rest of the cache is not aggregated
+    asked = cache.where(F.col("expire") > now).join(texts.select("cache_key"), "cache_key", "left_semi")
+    return texts.join(valid_cache(asked, now), "cache_key", "left")
 
 
 def split_hits(looked_up: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -302,8 +308,9 @@ def analyze(
         per_key = hits.select("cache_key", "result", "posts").unionByName(
             fresh.select("cache_key", "result", "posts")
         )
-    # saved counts name the hot texts for free; otherwise they are counted from the keys
-    heavy = heavy_of(per_key, "cache_key", "posts") if save else None
+    # the counts that name the hot texts: from the saved table, or from the aggregation above
+    counts = per_key if save else distinct_texts(keyed)
+    heavy = heavy_of(counts, "cache_key", "posts")
     results = per_key.select("cache_key", "result")
     joined = lookup_join(keyed, results, "cache_key", "left", heavy=heavy, spread=_spread(df))
     empty = F.when(F.col("normalized_text") == "", analysis_struct(F.col("normalized_text")))

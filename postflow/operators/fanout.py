@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from postflow import constants as K
 from postflow.operators import filters
-from postflow.operators.skew import lookup_join
+from postflow.operators.skew import lookup_join, small_lookup
 
 
 def author_of(users: Column, author_id: Column) -> Column:
@@ -135,11 +135,10 @@ def deny_join(df: DataFrame, deny: DataFrame, annotations: str = "context_annota
     """:func:`filters.deny_domain` against a deny *table* (column ``domain``), for lists too long for a literal.
 
     The names of a post's annotations are exploded and matched; posts with a match are removed by id.
-    Hot domain names are salted.
     """
     domains = F.array_distinct(F.transform(annotations, lambda a: a["domain"]["name"]))
     names = df.select("id", F.explode(domains).alias("domain"))
-    denied = lookup_join(
+    denied = small_lookup(
         names, deny.select("domain").distinct(), "domain", "left_semi", spread=[F.col("id")]
     )
     return df.join(denied.select("id").distinct(), "id", "left_anti")

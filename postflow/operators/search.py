@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from postflow.functions.text import tokens
 from postflow.operators.query import _top, searchable
-from postflow.operators.skew import lookup_join
+from postflow.operators.skew import small_lookup
 
 INDEX_BUCKETS = 64
 
@@ -29,7 +29,7 @@ def canonical_terms(rows: DataFrame, synonyms: DataFrame, token: str = "token")
     ``synonyms`` has ``(term, canonical)`` with one row per term.
     """
     mapping = synonyms.select(F.col("term").alias(token), "canonical")
-    joined = lookup_join(rows, mapping, token, "left")
+    joined = small_lookup(rows, mapping, token, "left")
     return joined.withColumn(token, F.coalesce("canonical", token)).select(*rows.columns)
 
 

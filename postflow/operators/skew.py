@@ -11,6 +11,34 @@ HEAVY_KEYS = 1000
 ROWS_PER_SALT = 500_000
 
 
+#: Rows of keys (or of a few short columns) that may be broadcast after they have been counted.
+BROADCAST_ROWS = 200_000
+
+
+def has_at_most(df: DataFrame, rows: int) -> bool:
+    """A job that stops counting after ``rows`` + 1 rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def keep_matching(df: DataFrame, keys: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in ``keys``.
+
+    Few keys (they are counted) go to every task, so that a large table is filtered where it is read instead of
+    being shuffled; many keys meet the table in an ordinary join.
+    """
+    wanted = keys.select(key)
+    return df.join(F.broadcast(wanted) if has_at_most(wanted, rows) else wanted, key, "left_semi")
+
+
+def small_lookup(
+    left: DataFrame, right: DataFrame, key: str, how: str = "left", rows: int = BROADCAST_ROWS, **options
+) -> DataFrame:
+    """:func:`lookup_join` for lists that are mostly short: those (they are counted) need no shuffle of ``left``."""
+    if has_at_most(right, rows):
+        return left.join(F.broadcast(right), key, how)
+    return lookup_join(left, right, key, how, **options)
+
+
 def heavy_keys(
     df: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT, keys: int = HEAVY_KEYS
 ) -> DataFrame:

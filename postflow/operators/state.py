@@ -158,7 +158,10 @@ def put_rows(state: DataFrame, batch: DataFrame, arrival: str = "arrival") -> Da
 
 
 def join_state(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """``batch`` (one row per id) with the stored row as struct ``stored``, null where there is none."""
+    """``batch`` (one row per id) with the stored row as struct ``stored``, null where there is none.
+
+    Against a large state, reduce it first: :func:`postflow.operators.skew.keep_matching`.
+    """
     stored = state.select("id", F.struct(*[F.col(c) for c in state.columns]).alias("stored"))
     return batch.join(stored, "id", "left")
 

@@ -18,7 +18,7 @@ from postflow.operators.analysis import LexiconScorer, PandasScorer, analyze
 from postflow.operators.document import to_document, upsert_documents
 from postflow.operators.fanout import distinct_ids, fanout, hydrate
 from postflow.operators.metrics import filtered_rate
-from postflow.operators.skew import lookup_join
+from postflow.operators.skew import keep_matching, lookup_join
 from postflow.operators.state import (
     attach_analysis,
     join_state,
@@ -108,7 +108,9 @@ def touched_rows(events: DataFrame, state: DataFrame, config: IngestConfig) -> D
     """New images of the rows that ``events`` (with ``arrival``) change, one per id, before analysis.
 
     ``fresh`` marks rows replaced as a whole: new posts, and included posts seen with their text for the first time.
+    Of ``state`` only the buckets of this batch are read, and of those only the rows with its ids go further.
     """
+    table, buckets = config.warehouse.state, config.warehouse.buckets
     main = filters.new_posts(events, config.denied_domains, config.deny_mode)
     puts = last_row(to_state_row(main, config.now, keep=["arrival"]))
     included = filters.included_posts(fanout(main), config.denied_domains, config.deny_mode)
@@ -119,7 +121,11 @@ def touched_rows(events: DataFrame, state: DataFrame, config: IngestConfig) -> D
     later = later.where(F.col("_put").isNull() | (F.col("arrival") > F.col("_put"))).drop("_put")
     best = latest_by_version(later)
 
-    columns = [c for c in schemas.STATE.names]
+    ids = main.select(F.col("data.id").alias("id")).union(included.select("data.id")).distinct()
+    near = table.touched(state, ids.select(id_bucket(F.col("id"), buckets).alias(table.partition)))
+    state = keep_matching(near, ids, "id")
+
+    columns = schemas.STATE.names
     row = F.struct(*[F.col(c) for c in columns])
     pairs = puts.select("id", row.alias("put")).join(best.select("id", row.alias("upd")), "id", "full_outer")
     joined = join_state(pairs, state.select(*columns))
@@ -140,7 +146,7 @@ def touched_rows(events: DataFrame, state: DataFrame, config: IngestConfig) -> D
     rows = joined.select(
         image.alias("image"), event_name.alias("event_name"), (put.isNotNull() | promoted).alias("fresh")
     ).where(F.col("image").isNotNull())
-    bucket = id_bucket(F.col("image.id"), config.warehouse.buckets)
+    bucket = id_bucket(F.col("image.id"), buckets)
     return rows.select("image.*", bucket.alias("bucket"), "event_name", "fresh")
 
 

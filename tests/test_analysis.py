@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from helpers import ids, post, posts
 from postflow.operators import analysis as A
-from postflow.operators.skew import heavy_keys, lookup_join
+from postflow.operators.skew import heavy_keys, keep_matching, lookup_join, small_lookup
 from postflow.session import new_shared_path
 
 NOW = "2024-01-01 00:00:00"
@@ -124,6 +124,10 @@ def test_lookup_join_spreads_hot_keys(spark):
         want = sorted(map(tuple, left.join(right, "k", how).collect()), key=repr)
         got = sorted(map(tuple, lookup_join(left, right, "k", how, rows_per_salt=100).collect()), key=repr)
         assert got == want, how
+        got = [sorted(map(tuple, small_lookup(left, right, "k", how, rows=n).collect()), key=repr) for n in (10, 1000)]
+        assert got == [want, want], how
+    for n in (10, 1000):
+        assert keep_matching(left, right, "k", rows=n).count() == left.join(right, "k", "left_semi").count()
     salted = lookup_join(left, right, "k", "left", rows_per_salt=100)
     assert salted.columns == left.join(right, "k", "left").columns
     with pytest.raises(ValueError):
