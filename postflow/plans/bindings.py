@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postflow import constants as K
 from postflow import schemas
@@ -36,6 +37,20 @@ def _string(col: Column) -> Column:
     return col.cast("string")
 
 
+def _none(kind: str | T.DataType = "string") -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _as(schema: T.StructType, values: dict[str, Column]) -> list[Column]:
+    """Columns in schema order. Nested values have to have their type already: a cast around a struct would have
+    the whole struct built again for every field that is read from it."""
+    nested = (T.StructType, T.ArrayType)
+    return [
+        (values[f.name] if isinstance(f.dataType, nested) and f.name in values else values.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name)
+        for f in schema.fields
+    ]
+
+
 def raw_posts(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Events (also a stream of them) with ``k`` out of their JSON and the document's text, language and source."""
     events = table(spark, sf_dir, "events") if events is None else events
@@ -63,10 +78,13 @@ def post_struct() -> Column:
     k, event_id = F.col("k"), F.col("event_id")
     names = F.array(*[F.lit(d) for d in DOMAINS])
 
+    def named(name: Column) -> Column:
+        return F.struct(_none().alias("id"), name.alias("name"), _none().alias("description"))
+
     def annotation(domain: Column, entity: Column) -> Column:
         return F.struct(
-            F.struct(F.lit(None).alias("id"), F.get(names, domain.cast("int")).alias("name"), F.lit(None).alias("description")).alias("domain"),
-            F.struct(F.lit(None).alias("id"), F.concat(F.lit("entity"), _string(entity)).alias("name"), F.lit(None).alias("description")).alias("entity"),
+            named(F.get(names, domain.cast("int"))).alias("domain"),
+            named(F.concat(F.lit("entity"), _string(entity))).alias("entity"),
         )
 
     context = F.when(k % 5 != 0, F.array(annotation(k % 7, k % 11), annotation((k * 3 + 1) % 7, k % 4)))
@@ -82,15 +100,15 @@ def post_struct() -> Column:
     mention = F.struct(F.concat(F.lit("User"), _string(F.col("user_id"))).alias("username"), _string(F.col("user_id")).alias("id"))
     host = F.concat(F.lit("host"), _string(k % 13), F.lit(".example/"))
     link = F.struct(
-        F.lit(None).alias("url"),
+        _none().alias("url"),
         F.concat(F.lit("https://"), host, _string(event_id)).alias("expanded_url"),
         F.concat(host, _string(event_id)).alias("display_url"),
         F.when(k % 3 == 0, F.concat(F.lit("Title "), _string(k))).alias("title"),
-        F.lit(None).alias("description"),
+        _none().alias("description"),
     )
     entities = F.struct(
-        F.lit(None).alias("annotations"),
-        F.lit(None).alias("cashtags"),
+        _none(schemas.ENTITIES["annotations"].dataType).alias("annotations"),
+        _none(schemas.ENTITIES["cashtags"].dataType).alias("cashtags"),
         tags.alias("hashtags"),
         F.array(mention).alias("mentions"),
         F.when(k % 2 == 0, F.array(link)).alias("urls"),
@@ -123,7 +141,7 @@ def post_struct() -> Column:
         "referenced_tweets": references,
         "geo": geo,
     }
-    return F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in schemas.POST.fields])
+    return F.struct(*_as(schemas.POST, values))
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +165,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(0).cast("bigint").alias("listed_count"),
         ),
     }
-    return customer.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in schemas.USER.fields])
+    return customer.select(*_as(schemas.USER, values))
 
 
 def bus_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
@@ -161,12 +179,7 @@ def bus_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None
         F.concat(F.lit("Name "), _string(F.col("user_id"))).alias("name"),
         F.concat(F.lit("user"), _string(F.col("user_id"))).alias("username"),
     )
-    full_author = F.struct(
-        *[
-            (author[f.name] if f.name in ("id", "name", "username") else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schemas.USER.fields
-        ]
-    )
+    full_author = F.struct(*_as(schemas.USER, {n: author[n] for n in ("id", "name", "username")}))
     included = F.col("event_type").isin("signup", "error")
     return raw_posts(spark, sf_dir, events).select(
         F.lit(K.BUS_SOURCE).alias("source"),
@@ -206,16 +219,14 @@ def thread_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source": F.col("role"),
         "referenced_tweets": references,
     }
-    return table(spark, sf_dir, "conversations").select(
-        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.POST.fields]
-    )
+    return table(spark, sf_dir, "conversations").select(*_as(schemas.POST, values))
 
 
 def thread_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The roles of the conversations as users."""
     roles = table(spark, sf_dir, "conversations").select(F.col("role").alias("id")).distinct()
     values = {"id": F.col("id"), "name": F.initcap("id"), "username": F.col("id")}
-    return roles.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.USER.fields])
+    return roles.select(*_as(schemas.USER, values))
 
 
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
