@@ -42,7 +42,9 @@ def _documents(spark, d):
 def _cache(spark, d):
     """A first run over the labelled documents; entries of the poor ones have expired since."""
     labels = B.table(spark, d, "labels").select("doc_id", "quality")
-    texts = keyed_texts(_documents(spark, d).join(labels, "doc_id"))
+    # the scorer gets one part of the documents per task, however few row groups the table has
+    labelled = _documents(spark, d).join(labels, "doc_id").repartition("doc_id")
+    texts = keyed_texts(labelled)
     days = F.when(F.col("quality") == 1, 14).otherwise(-1)
     rows = texts.withColumn("result", F.lit(None).cast(schemas.ANALYSIS)).withColumn("days", days)
     expire = _now() + F.make_interval(days=F.col("days"))
