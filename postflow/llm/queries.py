@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postflow.llm import quality_rules
+from postflow.llm import quality_rules, token_counts
 from postflow.llm.common import read
 
 
@@ -62,8 +62,23 @@ verdict AS (SELECT m.*, coalesce(NOT base_failed AND symbol_rate <= symbol_high
     AND word_length <= length_high AND word_length >= length_low, false) AS kept
   FROM m LEFT JOIN limits ON m.lang IS NOT DISTINCT FROM limits.lang AND m.source IS NOT DISTINCT FROM limits.source)"""
 
+
+def tokenizer_path(name: str) -> str:
+    """Where a vocabulary file of the public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.load_sentencepiece(tokenizer_path("piece_bpe_32k.model"))
+    counted = token_counts.with_token_counts(read(spark, sf_dir, "documents"), vocabulary)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op7_token_counts": op7_token_counts,
 }
 
 ORACLES: dict[str, str] = {
