@@ -43,5 +43,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def bound_batches(spark: SparkSession, megabytes: int = 16) -> None:
+    """Bounds what a Python task holds of its input at once, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postflow.llm import quality_rules, token_counts
+from postflow.llm import packing, quality_rules, token_counts
 from postflow.llm.common import read
 
 
@@ -70,6 +72,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Windows of at most 4096 ids of the lower-case word vocabulary, each document ended by id 2."""
+    model = Path(tokenizer_path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    return packing.pack(docs, partial(packing.word_encoder, model), end=2)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = token_counts.load_sentencepiece(tokenizer_path("piece_bpe_32k.model"))
     counted = token_counts.with_token_counts(read(spark, sf_dir, "documents"), vocabulary)
@@ -78,6 +90,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
 }
 

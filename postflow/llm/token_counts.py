@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from postflow.llm.common import text_of
+from postflow.llm.common import bound_batches, text_of
 
 #: Stands for a space in pieces.
 SPACE = "▁"
@@ -281,6 +281,7 @@ def with_token_counts(docs: DataFrame, vocabulary: Vocabulary, limit: int = 4096
     rows and ids stay as they are. Columns of the input named like one of the three are replaced; all others stay. An
     empty table gives an empty table. Texts are read whole, whatever their length.
     """
+    bound_batches(docs.sparkSession)
     body = text_of(text) if isinstance(text, str) else text
     named = {"n_bytes", "n_tokens", "over_limit", text if isinstance(text, str) else ""}
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in named]
