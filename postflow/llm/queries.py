@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postflow.llm import packing, quality_rules, token_counts
+from postflow.llm import html_text, packing, quality_rules, token_counts
 from postflow.llm.common import read
 
 
@@ -88,10 +88,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
+    "op8_html_text": op8_html_text,
 }
 
 ORACLES: dict[str, str] = {
