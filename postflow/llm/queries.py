@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 from pathlib import Path
@@ -9,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postflow.llm import html_text, packing, quality_rules, token_counts
+from postflow.llm import html_text, license_scan, packing, quality_rules, token_counts
 from postflow.llm.common import read
 
 
@@ -92,14 +93,53 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents")).select("doc_id", "licenses", "sentence_ids", "unmatched")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace(license_scan.CUT, "' || chr(1) || '") + "'"
+
+
+def license_sql() -> str:
+    """The same cuts, tables and rules as SQL."""
+    cut = "coalesce(text, '')"
+    for pattern, replacement in (license_scan.ABBREVIATED, *license_scan.CUTTING):
+        cut = f"regexp_replace({cut}, {_quoted(pattern)}, {_quoted(re.sub(r'[$]([0-9])', lambda m: chr(92) + m[1], replacement))}, 'g')"
+    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in license_scan.identifiers().items())
+    named = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in license_scan.names().items())
+    steps, licenses = "", []
+    for k, (name, rule) in enumerate(license_scan.RULES):
+        sequence = _quoted(f"|{'||'.join(rule)}|")
+        steps += f", s{k + 1} AS (SELECT *, replace(l{k}, {sequence}, '') AS l{k + 1} FROM s{k})"
+        licenses.append(f"CASE WHEN contains(l{k}, {sequence}) THEN {_quoted(name)} END")
+    n = len(license_scan.RULES)
+    return f"""WITH cut AS (SELECT doc_id, string_split({cut}, chr(1)) AS parts FROM documents WHERE regexp_matches(text, {_quoted(license_scan.HINT)})),
+parts AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS i, trim(regexp_replace(lower(unnest(parts)), '[^a-z0-9]+', ' ', 'g')) AS s FROM cut),
+known(s, id) AS (VALUES {known}), named(s, id) AS (VALUES {named}),
+hits AS (SELECT p.doc_id, p.i, coalesce(k.id, n.id) AS id FROM parts p LEFT JOIN known k ON k.s = p.s
+  LEFT JOIN named n ON n.s = concat(regexp_extract(p.s, {_quoted(license_scan.NAMING)}, 1), regexp_extract(p.s, {_quoted(license_scan.NAMING)}, 2))
+  WHERE coalesce(k.id, n.id) IS NOT NULL),
+found AS (SELECT doc_id, string_agg(id, '|' ORDER BY i) AS ids FROM hits GROUP BY doc_id),
+s0 AS (SELECT doc_id, ids, '|' || replace(ids, '|', '||') || '|' AS l0 FROM found){steps},
+taken AS (SELECT doc_id, ids, l{n} AS rest, unnest([{", ".join(licenses)}]) AS name, unnest(range({n})) AS turn FROM s{n}),
+firsts AS (SELECT doc_id, name, min(turn) AS turn FROM taken WHERE name IS NOT NULL GROUP BY doc_id, name),
+joined AS (SELECT doc_id, string_agg(name, '|' ORDER BY turn) AS licenses FROM firsts GROUP BY doc_id),
+rests AS (SELECT DISTINCT doc_id, ids, trim(replace(rest, '||', '|'), '|') AS rest FROM taken)
+SELECT d.doc_id, coalesce(j.licenses, '') AS licenses, coalesce(r.ids, '') AS sentence_ids, coalesce(r.rest, '') AS unmatched
+FROM documents d LEFT JOIN rests r ON r.doc_id = d.doc_id LEFT JOIN joined j ON j.doc_id = d.doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_html_text": op8_html_text,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op4_quality_rules": f"""WITH {QUALITY_MEASURES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict""",
+    "op9_license_scan": license_sql(),
 }
