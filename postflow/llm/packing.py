@@ -22,6 +22,8 @@ import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -43,6 +45,8 @@ STEP_TOKENS = 1 << 16
 WINDOW_BITS, BLOCK_BITS = 24, 16
 #: Words whose ids an encoder keeps.
 MAX_WORDS = 500_000
+#: Texts encoded at once.
+ENCODED = 64
 
 PIECE = (
     "doc_id BIGINT, start BIGINT, length BIGINT, ids_crc32 BIGINT, doc_tokens BIGINT, sequence_id BIGINT, offset BIGINT, "
@@ -158,11 +162,12 @@ class Packer:
         return found
 
 
+@lru_cache(maxsize=1)
 def word_encoder(model: str) -> Encode:
     """An encoder for tokenizers that encode words apart from each other; ``model`` is the text of the vocabulary file.
 
     Words are what spaces and line ends separate; each distinct one is encoded by the library once. Texts in which a
-    special token could stand are encoded whole.
+    special token could stand are encoded whole. A worker process keeps its encoder for its next tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -178,17 +183,11 @@ def word_encoder(model: str) -> Encode:
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > MAX_WORDS:
             known.clear()
-        result = []
-        for text in texts:
-            if any(token in text for token in special):
-                result += whole([text])
-                continue
-            words = text.replace("\n", " ").split(" ")
-            new = list({word for word in words if word not in known})
-            for i in range(0, len(new), 4096):
-                known.update(zip(new[i : i + 4096], whole(new[i : i + 4096])))
-            result.append(b"".join(map(known.__getitem__, words)))
-        return result
+        cut = [None if any(token in text for token in special) else text.replace("\n", " ").split(" ") for text in texts]
+        new = list(set().union(*filter(None, cut)).difference(known))
+        for i in range(0, len(new), 4096):
+            known.update(zip(new[i : i + 4096], whole(new[i : i + 4096])))
+        return [b"".join(map(known.__getitem__, words)) if words else whole([text])[0] for text, words in zip(texts, cut)]
 
     return encode
 
@@ -213,8 +212,10 @@ def _pack_blocks(encoder: Callable[[], Encode], tiers: tuple[int, ...], end: int
             return _frame(rows, [*COLUMNS, "block", "ids"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                data = encode([text])[0] + ending
+            texts = batch["text"].tolist()
+            encoded = chain.from_iterable(encode(texts[i : i + ENCODED]) for i in range(0, len(texts), ENCODED))
+            for doc_id, data in zip(batch["doc_id"], encoded):
+                data += ending
                 packer.add(Piece(None if pd.isna(doc_id) else int(doc_id), 0, data, len(data) // 4))
                 if packer.tokens >= BLOCK_TOKENS:
                     yield closed()

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import pandas as pd
@@ -262,12 +263,24 @@ class Transducer:
         return self.walk(self.START, whole.head)[1] + (whole.count or 0)
 
 
+_kept: dict[bytes, Transducer] = {}
+
+
+def compiled(vocabulary: Vocabulary) -> Transducer:
+    """The transducer of a vocabulary; a worker process keeps the last one for its next tasks."""
+    key = blake2b(repr((vocabulary.prefix, sorted(vocabulary.scores.items()))).encode()).digest()
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Transducer(vocabulary)
+    return _kept[key]
+
+
 def counter(vocabulary: Vocabulary, chunk: int = CHUNK):
     """A column function: the tokens of a text column. The vocabulary is the only thing that is sent to the tasks."""
 
     @F.pandas_udf(LongType())
     def token_count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        transducer = Transducer(vocabulary)
+        transducer = compiled(vocabulary)
         for texts in batches:
             yield pd.Series([transducer.count(text, chunk) for text in texts], dtype="int64")
 
