@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postflow.llm import html_text, license_scan, packing, quality_rules, token_counts
+from postflow.llm import html_text, license_scan, packing, quality_rules, substring_dedup, token_counts
 from postflow.llm.common import read
 
 
@@ -130,12 +130,17 @@ SELECT d.doc_id, coalesce(j.licenses, '') AS licenses, coalesce(r.ids, '') AS se
 FROM documents d LEFT JOIN rests r ON r.doc_id = d.doc_id LEFT JOIN joined j ON j.doc_id = d.doc_id"""
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
