@@ -10,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postflow.llm import html_text, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts
+from postflow.llm import decontaminate, html_text, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts
 from postflow.llm.common import read
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
@@ -139,6 +143,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
