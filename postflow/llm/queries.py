@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from functools import partial
@@ -10,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postflow.llm import decontaminate, html_text, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts
+from postflow.llm import decontaminate, html_text, license_scan, ngram_join, packing, pii_surrogates, quality_rules, substring_dedup, token_counts
 from postflow.llm.common import read
 
 
@@ -18,6 +19,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a corpus that is given away takes its key from outside the code
+    secret = os.environ.get("POSTFLOW_PII_KEY", "public example key")
+    replaced = pii_surrogates.replace(read(spark, sf_dir, "documents"), secret)
+    return replaced.select("doc_id", "n_entities", "text")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
@@ -144,6 +152,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
