@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postflow.llm import decontaminate, html_text, license_scan, ngram_join, packing, pii_surrogates, quality_rules, substring_dedup, token_counts
+from postflow.llm import decontaminate, html_text, license_scan, line_dedup, ngram_join, packing, pii_surrogates, quality_rules, substring_dedup, token_counts
 from postflow.llm.common import read
 
 
@@ -99,6 +99,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = token_counts.load_sentencepiece(tokenizer_path("piece_bpe_32k.model"))
     counted = token_counts.with_token_counts(read(spark, sf_dir, "documents"), vocabulary)
@@ -155,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_surrogates": op2_pii_surrogates,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_token_counts": op7_token_counts,
     "op8_html_text": op8_html_text,
