@@ -43,8 +43,8 @@ FAN_IN = 32
 STEP_TOKENS = 1 << 16
 #: Numbers of windows within a block, and of blocks within a partition.
 WINDOW_BITS, BLOCK_BITS = 24, 16
-#: Words whose ids an encoder keeps.
-MAX_WORDS = 500_000
+#: Words whose ids an encoder keeps, twice: the ones in use and those before them.
+MAX_WORDS = 700_000
 #: Texts encoded at once.
 ENCODED = 64
 
@@ -166,27 +166,42 @@ class Packer:
 def word_encoder(model: str) -> Encode:
     """An encoder for tokenizers that encode words apart from each other; ``model`` is the text of the vocabulary file.
 
-    Words are what spaces and line ends separate; each distinct one is encoded by the library once. Texts in which a
+    Words are what spaces and line ends separate; each distinct one is encoded by the library once, many in one call. Texts in which a
     special token could stand are encoded whole. A worker process keeps its encoder for its next tasks.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(model)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
 
     def whole(texts: list[str]) -> list[bytes]:
         encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
+    def apart(words: list[str]) -> list[bytes]:
+        """The ids of words, encoded as one text with a special token between them."""
+        if not special or not words:
+            return whole(words)
+        token, mark = next(iter(special.items()))
+        (data,) = whole([token.join(words)])
+        ends = np.append(np.flatnonzero(np.frombuffer(data, dtype="<u4") == mark), len(data) // 4)
+        starts = np.append(0, ends[:-1] + 1)
+        return [data[i:j] for i, j in zip((4 * starts).tolist(), (4 * ends).tolist())]
+
     def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > MAX_WORDS:
-            known.clear()
+        nonlocal known, before
+        if len(known) > MAX_WORDS:  # words that are still in use come back from the older half
+            known, before = {}, known
         cut = [None if any(token in text for token in special) else text.replace("\n", " ").split(" ") for text in texts]
-        new = list(set().union(*filter(None, cut)).difference(known))
+        new = set().union(*filter(None, cut)).difference(known)
+        old = new.intersection(before)
+        known.update((word, before[word]) for word in old)
+        new = list(new - old)
         for i in range(0, len(new), 4096):
-            known.update(zip(new[i : i + 4096], whole(new[i : i + 4096])))
+            known.update(zip(new[i : i + 4096], apart(new[i : i + 4096])))
         return [b"".join(map(known.__getitem__, words)) if words else whole([text])[0] for text, words in zip(texts, cut)]
 
     return encode
