@@ -33,10 +33,10 @@ def canonical_terms(rows: DataFrame, synonyms: DataFrame, token: str = "token")
     return joined.withColumn(token, F.coalesce("canonical", token)).select(*rows.columns)
 
 
-def query_terms(query: str | Sequence[str]) -> list[str]:
-    """Terms of a query: text is split at blanks, a list is taken as it is."""
-    parts = query.lower().split() if isinstance(query, str) else [q.lower() for q in query]
-    return list(dict.fromkeys(parts))
+def query_terms(query: str | Sequence[str], dictionary: Iterable[str] = (), stop_words: Iterable[str] = ()) -> Column:
+    """Distinct terms of a query, analysed as documents are; of a list each item is analysed."""
+    text = query if isinstance(query, str) else "\n".join(query)
+    return F.array_distinct(tokens(F.lit(text), dictionary, stop_words))
 
 
 def match(
@@ -47,14 +47,14 @@ def match(
     dictionary: Iterable[str] = (),
     stop_words: Iterable[str] = (),
 ) -> DataFrame:
-    """Documents whose field has any (or all) of the query's terms. No shuffle."""
-    wanted = query_terms(query)
-    literal = F.array(*[F.lit(w) for w in wanted]).cast("array<string>")
+    """Documents whose field has any (or all) of the query's terms; a query without terms matches none. No shuffle."""
+    dictionary, stop_words = list(dictionary), list(stop_words)
+    wanted = query_terms(query, dictionary, stop_words)
     found = field_tokens(df, field, dictionary, stop_words)
     if op == "any":
-        condition = F.arrays_overlap(found, literal)
+        condition = F.arrays_overlap(found, wanted)
     elif op == "all":
-        condition = F.size(F.array_intersect(found, literal)) == len(wanted)
+        condition = (F.size(wanted) > 0) & (F.size(F.array_intersect(found, wanted)) == F.size(wanted))
     else:
         raise ValueError(f"unknown operator {op!r}")
     return df.where(F.coalesce(condition, F.lit(False)))
@@ -94,10 +94,17 @@ def search_index(
     op: str = "any",
     synonyms: dict[str, str] | None = None,
     buckets: int = INDEX_BUCKETS,
+    dictionary: Iterable[str] = (),
+    stop_words: Iterable[str] = (),
 ) -> DataFrame:
-    """Ids of the documents with any (or all) of the terms; ``synonyms`` maps query terms like the index was built."""
-    wanted = list(dict.fromkeys((synonyms or {}).get(t, t) for t in query_terms(query)))
-    in_buckets = F.array(*[_bucket(F.lit(w), buckets) for w in wanted])
+    """Ids of the documents with any (or all) of the terms; a query without terms finds none.
+
+    ``synonyms``, ``dictionary`` and ``stop_words`` are those the index was built with.
+    """
+    # the terms of one query are known before the index is read, so that only their buckets are
+    terms = index.sparkSession.range(1).select(query_terms(query, dictionary, stop_words)).first()[0]
+    wanted = list(dict.fromkeys((synonyms or {}).get(t, t) for t in terms))
+    in_buckets = F.array(*[_bucket(F.lit(w), buckets) for w in wanted]).cast("array<int>")
     rows = index.where(F.array_contains(in_buckets, F.col("token_bucket").cast("int")) & F.col("token").isin(wanted))
     if op == "any":
         return rows.select("id").distinct()

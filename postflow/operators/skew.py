@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys tracked as heavy. A key outside of the list holds at most 1/(HEAVY_KEYS + 1) of all rows.
-HEAVY_KEYS = 1000
-#: Rows of one heavy key that may meet in one task.
+#: Rows of one key that may meet in one task; a key with more is heavy. There are at most rows / ROWS_PER_SALT of these,
+#: two million short rows for 10^12 rows.
 ROWS_PER_SALT = 500_000
 
 
@@ -16,8 +15,8 @@ BROADCAST_ROWS = 200_000
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
-    """A job that stops counting after ``rows`` + 1 rows."""
-    return df.limit(rows + 1).count() <= rows
+    """Counts within the tasks, so that one number of each moves."""
+    return df.count() <= rows
 
 
 def keep_matching(df: DataFrame, keys: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -39,28 +38,20 @@ def small_lookup(
     return lookup_join(left, right, key, how, **options)
 
 
-def heavy_keys(
-    df: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT, keys: int = HEAVY_KEYS
-) -> DataFrame:
-    """``(key, salts)`` of the heaviest keys: never more than ``keys`` rows, so it is safe to broadcast.
+def heavy_keys(df: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """``(key, salts)`` of every key with more than ``rows_per_salt`` rows: at most one for each that many rows.
 
-    Counting combines before its shuffle and reads only the key; the top list is kept per task.
+    Counting combines before its shuffle and reads only the key.
     """
     # count(key) is zero for the null key; a filter on the key would evaluate it twice
     counts = df.groupBy(key).agg(F.count(F.col(key)).alias("_rows"))
-    return heavy_of(counts, key, "_rows", rows_per_salt, keys)
+    return heavy_of(counts, key, "_rows", rows_per_salt)
 
 
-def heavy_of(
-    counts: DataFrame, key: str, rows: str, rows_per_salt: int = ROWS_PER_SALT, keys: int = HEAVY_KEYS
-) -> DataFrame:
+def heavy_of(counts: DataFrame, key: str, rows: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """The same from known counts per key."""
-    return (
-        counts.where(F.col(rows) > rows_per_salt)
-        .orderBy(F.desc(rows), F.asc(key))
-        .limit(keys)
-        .select(key, F.ceil(F.col(rows) / rows_per_salt).cast("int").alias("_salts"))
-    )
+    heavy = counts.where(F.col(rows) > rows_per_salt)
+    return heavy.select(key, F.ceil(F.col(rows) / rows_per_salt).cast("int").alias("_salts"))
 
 
 def lookup_join(
@@ -75,14 +66,14 @@ def lookup_join(
     """``left`` joined to ``right`` (at most one row per ``key``) for ``left``, ``inner``, ``left_semi``, ``left_anti``.
 
     Rows of heavy keys are spread over salts by a hash of the row (``spread``); the matching right row is
-    repeated once per salt. The repeats add at most ``HEAVY_KEYS + rows / rows_per_salt`` rows in all.
+    repeated once per salt. The repeats add at most ``2 * rows / rows_per_salt`` rows in all.
     Whether the right side is small enough to broadcast is left to Spark's own size check.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"not a lookup: {how}")
     if heavy is None:
         heavy = heavy_keys(left, key, rows_per_salt)
-    bounded = F.broadcast(heavy)  # at most HEAVY_KEYS rows
+    bounded = F.broadcast(heavy)  # at most rows / rows_per_salt short rows
     row_hash = F.xxhash64(*(spread or [left[c] for c in left.columns]))
     # null keys match nothing: spread them all over instead of sending them to one task
     salt = F.when(F.col(key).isNull(), F.pmod("_row_hash", F.lit(1 << 20))).otherwise(

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postflow import constants as K
 from postflow import schemas
+from postflow.functions.keys import month_key, to_time
 from postflow.operators import filters
 from postflow.operators.analysis import LexiconScorer, PandasScorer, analyze
 from postflow.operators.document import to_document, upsert_documents
@@ -89,6 +90,11 @@ class Warehouse:
     def scored(self) -> BatchLog:
         return BatchLog(f"{self.root}/scored", _SCORED)
 
+    @property
+    def dropped(self) -> BatchLog:
+        """Change records that became no document, with the reason."""
+        return BatchLog(f"{self.root}/dropped", T.StructType([T.StructField(n, _TEXT) for n in ("id", "created_at", "reason")]))
+
 
 @dataclass(frozen=True)
 class IngestConfig:
@@ -198,9 +204,12 @@ def ingest_batch(events: DataFrame, tag: str, config: IngestConfig) -> None:
 
 
 def index_changes(changes: DataFrame, house: Warehouse, tag: str) -> None:
-    """Change records to documents to the months they belong to."""
+    """Change records to documents to the months they belong to; records without a month go to the log of dropped ones."""
     spark = changes.sparkSession
-    docs = to_document(filters.change_filter(changes)).withColumn("version", F.lit(1).cast("bigint"))
+    changes = filters.change_filter(changes)
+    undated = changes.where(month_key(to_time(F.col("created_at"))).isNull())
+    house.dropped.write(undated.withColumn("reason", F.lit("created_at")), tag)
+    docs = to_document(changes).withColumn("version", F.lit(1).cast("bigint"))
     docs = docs.where(F.col("month").isNotNull())
     stored = house.gold.touched(house.gold.read(spark, before=tag), docs)
     house.gold.write(upsert_documents(stored, docs), tag)

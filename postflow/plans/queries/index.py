@@ -12,6 +12,7 @@ from postflow.operators.filters import change_filter
 from postflow.plans import bindings as B
 from postflow.plans.queries.enrich import SCORER
 from postflow.plans.queries.registry import POST, TOKENS, lexicon, norm, query, words
+from postflow.session import new_shared_path
 from postflow.sources.lists import scan_state_by_year
 
 
@@ -185,6 +186,32 @@ def match_all(spark, d):
     return search.match(_texts(spark, d), "text", "the by that", op="all").select("id")
 
 
+@query(f"WITH {_WORDS} SELECT id FROM w WHERE token IN ('thing', 'that') GROUP BY 1 HAVING count(*) = 2")
+def match_stop_words(spark, d):
+    """Stop words of the query are dropped like those of the documents."""
+    return search.match(_texts(spark, d), "text", "The thing, that", op="all", stop_words=["the"]).select("id")
+
+
+@query(f"WITH {_WORDS} SELECT id FROM w WHERE token IN ('the', 'that') GROUP BY 1 HAVING count(*) = 2")
+def match_apostrophe(spark, d):
+    """A query is split where documents are."""
+    return search.match(_texts(spark, d), "text", "the'that", op="all").select("id")
+
+
+@query(f"WITH {_WORDS} SELECT DISTINCT id FROM w WHERE token = 'that'")
+def match_full_width(spark, d):
+    """Full-width letters of a query find plain ones."""
+    return search.match(_texts(spark, d), "text", "ＴＨＡＴ").select("id")
+
+
+@query(f"WITH {_WORDS} SELECT id FROM w WHERE token IN ('thing', 'that') GROUP BY 1 HAVING count(*) = 2")
+def index_search_written(spark, d):
+    """The same analysis against an index that was written and read by buckets."""
+    path = new_shared_path(spark, "inverted-index")
+    search.write_index(search.build_inverted_index(_texts(spark, d), "text", stop_words=["the"]), path)
+    return search.search_index(spark.read.parquet(path), "The THING's: ｔｈａｔ", op="all", stop_words=["the", "s"])
+
+
 @query(f"WITH {_WORDS} SELECT token, count(*) AS doc_count FROM w GROUP BY 1")
 def inverted_index(spark, d):
     """Document frequencies out of the inverted table."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postflow import schemas
 from postflow.operators.fanout import assemble_includes
@@ -62,16 +63,44 @@ def stream_merge(spark, d):
     return table.read(spark).select("id", "updated_at", F.col("public_metrics.like_count").alias("likes"))
 
 
+def _archived(spark, d):
+    events = B.bus_events(spark, d, B.stream(spark, d, "events"))
+    out, errors = new_shared_path(spark, "bronze"), new_shared_path(spark, "bronze-errors")
+    for stream in O.archive_stream(events, out, errors, new_shared_path(spark, "checkpoint"), interval=None):
+        _finish(stream)
+    return out, errors
+
+
 @query(f"{POST} SELECT id, text, strftime(t, '%Y') AS year, strftime(t, '%m') AS month, strftime(t, '%d') AS day FROM post WHERE t IS NOT NULL")
 def stream_archive(spark, d):
     """Events to gzip JSON by day, read back from the archive."""
-    events = B.bus_events(spark, d, B.stream(spark, d, "events"))
-    out = new_shared_path(spark, "bronze")
-    _finish(O.archive_stream(events, out, new_shared_path(spark, "checkpoint"), interval=None))
-    rows = read_archive_days(spark, out, "2019-01-01", "2024-12-31")
+    out, _ = _archived(spark, d)
+    rows = read_archive_days(spark, out, "0000-01-01", "9999-12-31")
     return rows.select(F.col("data.id").alias("id"), F.col("data.text").alias("text"), "year", "month", "day")
 
 
+@query(f"{POST} SELECT id, text, 'metadata-extraction-failed' AS error_type FROM post WHERE t IS NULL")
+def stream_archive_errors(spark, d):
+    """The records that have no day, from the error branch of the archive stream."""
+    _, errors = _archived(spark, d)
+    schema = T.StructType([*schemas.ENVELOPE.fields, T.StructField("error_type", T.StringType())])
+    rows = spark.read.schema(schema).json(errors)
+    return rows.select(F.col("data.id").alias("id"), F.col("data.text").alias("text"), "error_type")
+
+
+@query("SELECT event_id FROM events")
+def dedupe_null_time(spark, d):
+    """Every event is delivered without a time and then with one; the second delivery gets through."""
+    events = B.stream(spark, d, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
+    both = F.array(F.lit(None).cast("timestamp"), F.col("event_time"))
+    twice = events.withColumn("event_time", F.explode(both))
+    rows = O.dedupe_stream(twice, "event_id", "40 days").select("event_id")
+    out, checkpoint = new_shared_path(spark, "dedupe"), new_shared_path(spark, "checkpoint")
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+    _finish(writer.trigger(availableNow=True).start(out))
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 @query(f"{POST} SELECT id, CAST(t IS NULL AS INT) AS failed FROM post")
 def batch_archive(spark, d):
     """One batch to the archive and its error branch, written twice as after a retry."""
@@ -100,9 +129,9 @@ def stream_histogram(spark, d):
     return rows.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-def _thread_envelopes(spark, d):
+def _thread_envelopes(spark, d, posts=None):
     """Envelopes of all conversation turns as JSON files."""
-    envelopes = assemble_includes(B.thread_posts(spark, d), users=B.thread_users(spark, d))
+    envelopes = assemble_includes(B.thread_posts(spark, d) if posts is None else posts, users=B.thread_users(spark, d))
     rule = F.array(F.struct(F.lit("r1").alias("id"), F.lit("t").alias("tag")))
     out = new_shared_path(spark, "envelopes")
     envelopes.withColumn("matching_rules", rule).write.option("compression", "gzip").json(out)
@@ -129,6 +158,19 @@ def stream_ingest(spark, d):
     return _gold(house, spark)
 
 
+@query("""SELECT conv_id || '-' || turn AS id, CASE WHEN turn % 3 = 0 THEN 'created_at' END AS reason FROM conversations""")
+def dropped_documents(spark, d):
+    """Every post is a document or in the log of dropped ones; every third turn has no readable time."""
+    turn = F.substring_index("id", "-", -1).cast("int")
+    created = F.when(turn % 3 == 0, "not a time").otherwise(F.col("created_at"))
+    posts = B.thread_posts(spark, d).withColumn("created_at", created)
+    house = Warehouse(new_shared_path(spark, "warehouse"), buckets=16)
+    envelopes = read_envelopes(spark, _thread_envelopes(spark, d, posts), streaming=True)
+    _finish(ingest(envelopes, IngestConfig(house, SCORER), new_shared_path(spark, "checkpoint")))
+    indexed = house.gold.read(spark).select("id", F.lit(None).cast("string").alias("reason"))
+    return indexed.unionByName(house.dropped.read(spark).select("id", "reason"))
+
+
 @query(_TURNS)
 def reindex_from_archive(spark, d):
     """Archived envelopes straight to documents."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postflow import constants as K
+from postflow import schemas
 from postflow.operators.state import merge_metrics
 from postflow.sinks.archive import DAY, archive_rows, split_valid
 from postflow.sinks.tables import STATE_BUCKETS, KeyedTable, id_bucket
@@ -33,15 +34,20 @@ def _first_of_batch(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def dedupe_stream(
     df: DataFrame, key: str = "id", window: str = "5 days", time: str = "event_time", local_first: bool = True
 ) -> DataFrame:
-    """One delivery per key within ``window`` of event time; rows without a time cannot be placed and are dropped.
+    """One delivery per key within ``window`` of event time; rows without a time cannot be placed (see :func:`untimed`).
 
     ``local_first`` removes repeats inside each Arrow batch before rows move, so that a key delivered very
     often does not fill one task; the result is the same either way.
     """
+    timed = df.where(F.col(time).isNotNull())
     if local_first:
-        df = df.mapInArrow(_first_of_batch(key), df.schema)
-    timed = df.where(F.col(time).isNotNull()).withWatermark(time, window)
-    return timed.dropDuplicatesWithinWatermark([key])
+        timed = timed.mapInArrow(_first_of_batch(key), df.schema)
+    return timed.withWatermark(time, window).dropDuplicatesWithinWatermark([key])
+
+
+def untimed(df: DataFrame, time: str = "event_time") -> DataFrame:
+    """The rows that :func:`dedupe_stream` leaves out."""
+    return df.where(F.col(time).isNull())
 
 
 def histogram_stream(
@@ -98,16 +104,20 @@ def merge_stream(
 
 
 def archive_stream(
-    events: DataFrame, path: str, checkpoint: str, interval: str | None = K.ARCHIVE_TRIGGER
-) -> StreamingQuery:
-    """Bronze as a plain file sink: gzip JSON lines by day, one flush per trigger."""
-    valid, _ = split_valid(events)
-    writer = (
-        archive_rows(valid)
-        .writeStream.format("json")
+    events: DataFrame, path: str, error_path: str, checkpoint: str, interval: str | None = K.ARCHIVE_TRIGGER
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Bronze as plain file sinks: gzip JSON lines by day, one flush per trigger; records without a usable day go to
+    ``error_path`` by type of error. The two queries together have every record."""
+    valid, errors = split_valid(events)
+    envelope = [c for c in schemas.ENVELOPE.names if c in errors.columns]
+    branches = ((archive_rows(valid), DAY, path, "valid"), (errors.select(*envelope, "error_type"), ("error_type",), error_path, "errors"))
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return tuple(
+        rows.writeStream.format("json")
         .option("compression", "gzip")
-        .option("checkpointLocation", checkpoint)
-        .partitionBy(*DAY)
+        .option("checkpointLocation", f"{checkpoint}/{name}")
+        .partitionBy(*parts)
+        .trigger(**trigger)
+        .start(out)
+        for rows, parts, out, name in branches
     )
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return writer.trigger(**trigger).start(path)

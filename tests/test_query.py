@@ -98,3 +98,17 @@ def test_counters(docs):
     assert summary({"b": 1, "a": 2}) == "a=2 b=1"
     assert filtered_rate(docs, F.col("lang") == "en").first()[0] == 50.0
     assert filtered_rate(docs.where("false"), F.lit(True)).first()[0] is None
+
+
+def test_queries_are_analysed_like_documents(spark):
+    docs = spark.createDataFrame([("1", "The cat"), ("2", "a cat, don't"), ("3", "ＡＷＳ cloud")], "id STRING, text STRING")
+    assert ids(search.match(docs, "text", "the cat", op="all", stop_words=["the"])) == ["1", "2"]
+    assert ids(search.match(docs, "text", "don't", op="all")) == ["2"]
+    assert ids(search.match(docs, "text", "AWS")) == ids(search.match(docs, "text", "ａｗｓ")) == ["3"]
+    index = search.build_inverted_index(docs, "text", stop_words=["the"])
+    assert ids(search.search_index(index, "the cat", op="all", stop_words=["the"])) == ["1", "2"]
+    assert ids(search.search_index(index, "don't", op="all")) == ["2"]
+    for op in ("any", "all"):
+        for empty in ("", " , ", []):
+            assert ids(search.match(docs, "text", empty, op=op)) == []
+            assert ids(search.search_index(index, empty, op=op)) == []
