@@ -14,11 +14,10 @@ script and a family name of that script, made of syllables.
 and one canonical form has one surrogate in all documents and spellings.
 
 **Collision checks.** All distinct values of the corpus get their surrogates, and where two values share one, or one is
-itself a value of the corpus, all but the first are keyed anew until none is left. The values that need another key are
-a small table: most runs have none. It meets the documents as a map by document id.
+itself a value of the corpus, all but the first are keyed anew until none is left.
 
-Everything is column expressions. Texts are read twice and never shuffled, but for documents with a value that had to be
-keyed anew if there are too many of them for a broadcast.
+Everything is column expressions. What is shuffled are the distinct values, and for each document with some of them a map
+of its surrogates. These maps meet the texts by document id: by a broadcast if there are few, else by a shuffle.
 """
 
 from __future__ import annotations
@@ -50,36 +49,37 @@ TITLES = {
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 _KNOWN = "|".join(g for names in GIVEN.values() for g in names)
+#: In front of a capital at the beginning of a word; looked at first, as few characters are capitals.
+_CAPITAL = r"(?=[A-ZÀ-ÞА-ЯΆ-Ω])(?<!\p{L})"
 _CAPITALISED = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 #: Kinds of values in the order in which they are tried.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "aws": r"\bAKIA[A-Z0-9]{16}\b",
-    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key)) ?[=:] ?[\"']?[A-Za-z0-9_/+-]{8,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "aws": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?=[PpTtSsAa])(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key) ?[=:] ?[\"']?[A-Za-z0-9_/+-]{8,}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9+-])[1-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": (
         r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
         r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
     ),
-    "name": rf"\b(?:(?:{_TITLE})\.? {_CAPITALISED}(?: {_CAPITALISED})?|(?:{_KNOWN}) {_CAPITALISED})(?![\p{{L}}])",
+    "name": rf"{_CAPITAL}(?:(?:{_TITLE})\.? {_CAPITALISED}(?: {_CAPITALISED})?|(?:{_KNOWN}) {_CAPITALISED})(?![\p{{L}}])",
 }
 #: What every value has in it. Texts without are not searched further.
-HINT = rf"[0-9@]|\b(?:{_TITLE}|{_KNOWN})\b|(?i:password|passwd|pwd|token|secret|api[_-]?key)"
+HINT = rf"[0-9@=:]|{_CAPITAL}(?:{_TITLE}|{_KNOWN})(?!\p{{L}})"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # End of fixed values.
 
-#: The pattern with Unicode classes for word boundaries.
-PATTERN = "(?U)(?:" + "|".join(KINDS.values()) + ")"
+PATTERN = "(?:" + "|".join(KINDS.values()) + ")"
 ROUNDS = 4
 #: Keys tried for a value before a run gives up; the chance to need another falls with each.
 MAX_ATTEMPTS = 20
 
 
 def _kind(value: Column) -> Column:
-    kinds = [F.when(value.rlike(f"(?U)^(?:{pattern})$"), F.lit(kind)) for kind, pattern in KINDS.items()]
+    kinds = [F.when(value.rlike(f"^(?:{pattern})$"), F.lit(kind)) for kind, pattern in KINDS.items()]
     return F.coalesce(*kinds, F.lit("name"))
 
 
@@ -200,7 +200,7 @@ def _gender_and_script(value: Column) -> tuple[Column, Column]:
     script = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(value.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise("latin")
     female = "|".join(TITLES["f"] + [g for (_, gender), names in GIVEN.items() if gender == "f" for g in names])
     male = "|".join(TITLES["m"] + [g for (_, gender), names in GIVEN.items() if gender == "m" for g in names])
-    gender = F.when(value.rlike(rf"(?U)(?i)\b(?:{female})\b"), F.lit("f")).when(value.rlike(rf"(?U)(?i)\b(?:{male})\b"), F.lit("m")).otherwise("n")
+    gender = F.when(value.rlike(rf"(?iu)(?<!\p{{L}})(?:{female})(?!\p{{L}})"), F.lit("f")).when(value.rlike(rf"(?iu)(?<!\p{{L}})(?:{male})(?!\p{{L}})"), F.lit("m")).otherwise("n")
     return gender, script
 
 
@@ -262,7 +262,7 @@ def _in_form(kind: Column, value: Column, new: Column) -> Column:
 
 def _matches(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    return F.when(text.rlike(f"(?U){HINT}"), found).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
 
 
 def _described(value: Column) -> Column:
@@ -272,29 +272,23 @@ def _described(value: Column) -> Column:
     return F.struct(kind.alias("kind"), canonical(kind, value).alias("value"), gender.alias("gender"), value.alias("spelling"))
 
 
-def values(docs: DataFrame) -> DataFrame:
-    """The distinct values of all documents: ``kind``, ``value``, ``gender`` (the one a title or name says)."""
-    found = docs.select(F.explode(_matches(text_of())).alias("m")).select(_described(F.col("m")).alias("d"))
-    # a name with different titles is one value; the order m, f, n of maxima is arbitrary but always the same
-    return found.groupBy("d.kind", "d.value").agg(F.min("d.gender").alias("gender"))
-
-
-def attempts(known: DataFrame, secret: str) -> DataFrame:
-    """The values that need another key than the first, with its number: ``kind``, ``value``, ``attempt``."""
+def assigned(known: DataFrame, secret: str) -> DataFrame:
+    """The surrogate of every value: ``kind``, ``value``, ``new``. No two values of a kind share one, and none is a
+    value itself; what collides is keyed anew, all but the first."""
     state = known.withColumn("attempt", F.lit(0))
     originals = known.select("kind", F.col("value").alias("shown"), F.lit(True).alias("original"))
     for _ in range(MAX_ATTEMPTS):
         new = surrogate(F.col("kind"), F.col("value"), F.col("gender"), F.col("attempt"), secret)
+        state = written(state.select("kind", "value", "gender", "attempt", new.alias("new")), "surrogates")
         # names are compared without case, as values are
-        shown = F.when(F.col("kind") == "name", F.lower(new)).otherwise(new)
-        state = written(state.select("kind", "value", "gender", "attempt", shown.alias("shown")), "surrogates")
+        state = state.withColumn("shown", F.when(F.col("kind") == "name", F.lower("new")).otherwise(F.col("new")))
         # of values with one surrogate the first stays
         first = state.groupBy("kind", "shown").agg(F.min("value").alias("first"), F.count("*").alias("n")).where("n > 1")
         judged = state.join(first, ["kind", "shown"], "left").join(originals, ["kind", "shown"], "left")
         bad = F.coalesce(F.col("value") != F.col("first"), F.lit(False)) | F.col("original").isNotNull()
-        state = written(judged.select("kind", "value", "gender", "attempt", bad.alias("bad")), "surrogates-checked")
+        state = written(judged.select("kind", "value", "gender", "attempt", "new", bad.alias("bad")), "surrogates-checked")
         if state.where("bad").isEmpty():
-            return state.where("attempt > 0").select("kind", "value", "attempt")
+            return state.select("kind", "value", "new")
         state = state.withColumn("attempt", F.col("attempt") + F.col("bad").cast("int"))
     raise ValueError(f"values still share surrogates after {MAX_ATTEMPTS} keys")
 
@@ -310,24 +304,22 @@ def replace(docs: DataFrame, secret: str) -> DataFrame:
     table gives an empty table.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_entities"])
-    columns = docs.columns
-    anew = written(attempts(written(values(docs), "values"), secret), "keyed-anew")
-    matched = docs.withColumn("_found", F.transform(_matches(text_of()), _described))
-    if anew.isEmpty():
-        numbered = matched.withColumn("_again", F.lit(None).cast("map<string,int>"))
-    else:
-        mentions = docs.select("doc_id", F.explode(_matches(text_of())).alias("m")).select("doc_id", _described(F.col("m")).alias("d"))
-        mentions = mentions.select("doc_id", F.col("d.kind").alias("kind"), F.col("d.value").alias("value")).distinct()
-        each = mentions.join(anew, ["kind", "value"]).groupBy(F.col("doc_id").alias("_doc_id"))
-        maps = each.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("_again"))
-        maps = small(written(maps, "keyed-anew-by-document"))
-        numbered = matched.join(maps, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
+    found = docs.select("doc_id", F.explode(_matches(text_of())).alias("m")).select("doc_id", _described(F.col("m")).alias("d"))
+    mentions = found.groupBy("doc_id", "d.kind", "d.value").agg(F.min("d.gender").alias("gender"))
+    mentions = written(mentions.withColumnRenamed("doc_id", "_doc_id"), "mentions")
+    # a name with different titles is one value
+    known = written(mentions.groupBy("kind", "value").agg(F.min("gender").alias("gender")), "values")
+    each = mentions.join(assigned(known, secret), ["kind", "value"])
+    entry = F.struct(F.concat_ws("|", "kind", "value"), "new")
+    maps = small(written(each.groupBy("_doc_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_new")), "surrogates-of-documents"))
+    joined = docs.join(maps, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
+    matched = joined.withColumn("_found", F.when(F.col("_new").isNotNull(), F.transform(_matches(text_of()), _described)))
 
     def shown(d: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(F.col("_again"), F.concat_ws("|", d["kind"], d["value"])), F.lit(0))
-        return _in_form(d["kind"], d["spelling"], surrogate(d["kind"], d["value"], d["gender"], attempt, secret))
+        return _in_form(d["kind"], d["spelling"], F.try_element_at(F.col("_new"), F.concat_ws("|", d["kind"], d["value"])))
 
     between = F.split(text_of(), PATTERN)
     woven = F.array_join(F.zip_with(between, F.transform("_found", shown), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     text = F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))
-    return numbered.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns], F.size("_found").cast("long").alias("n_entities"))
+    n = F.coalesce(F.size("_found"), F.lit(0)).cast("long")
+    return matched.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.greatest(n, F.lit(0)).alias("n_entities"))
