@@ -31,6 +31,8 @@ MIN_LENGTH = 20
 EDIT_LENGTH = 30
 #: Edits between lines of a class. A band of 2 * edits + 1 bits must fit into a long.
 EDITS = 1
+#: Characters that are compared at once at the ends of candidates.
+PART = 16
 
 _LAST = 2**63 - 1
 
@@ -59,9 +61,9 @@ def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> C
     return F.xxhash64(length, F.lit(i), F.substring(line, start, size))
 
 
-def keys_of(line: Column, edits: int) -> Column:
-    """The keys of a line: those of its own segments, and its probes of shorter lines and shifted segments."""
-    length = F.char_length(line)
+def keys_of(line: Column, length: Column, edits: int) -> Column:
+    """The keys of a line: those of its own segments, and its probes of shorter lines and shifted segments; null where
+    there is no place for one."""
     keys = []
     for less in range(edits + 1):
         other = length - less
@@ -71,7 +73,7 @@ def keys_of(line: Column, edits: int) -> Column:
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 fits = (start + shift >= 1) & (start + shift + size - 1 <= length) & (other >= EDIT_LENGTH)
                 keys.append(F.when(fits, _key(line, other, i, start + shift, size)))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    return F.array(*keys)
 
 
 def distance(a: str, b: str, edits: int) -> Column:
@@ -128,6 +130,33 @@ def distance(a: str, b: str, edits: int) -> Column:
     return F.when(F.abs(m - n) <= edits, walked).otherwise(edits + 1)
 
 
+def _equal_parts(a: str, b: str, reverse: bool) -> Column:
+    """How many characters, in whole parts of ``PART``, two lines have in common at one end."""
+    one, two = (F.reverse(a), F.reverse(b)) if reverse else (F.col(a), F.col(b))
+    parts = F.floor(F.least(F.char_length(a), F.char_length(b)) / PART).cast("int")
+    differ = lambda i: F.substring(one, i * PART + 1, F.lit(PART)) != F.substring(two, i * PART + 1, F.lit(PART))
+    first = F.array_position(F.transform(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0))), differ), F.lit(True))
+    return PART * F.when(parts == 0, 0).when(first == 0, parts).otherwise(first.cast("int") - 1)
+
+
+def within(pairs: DataFrame, edits: int) -> DataFrame:
+    """The pairs of lines ``a``, ``b`` with at most ``edits`` edits.
+
+    Equal beginnings and endings are cut off first, which leaves the distance as it is. One edit leaves less than three
+    parts, so with one edit allowed longer rests need no distance.
+    """
+    names = [c for c in pairs.columns if c not in ("a", "b")]
+    step = pairs.select(*names, "a", "b", _equal_parts("a", "b", False).alias("_front"))
+    rest = lambda c: F.substring(F.col(c), F.col("_front") + 1, F.char_length(c))
+    step = step.select(*names, rest("a").alias("a"), rest("b").alias("b"))
+    step = step.select(*names, "a", "b", _equal_parts("a", "b", True).alias("_back"))
+    rest = lambda c: F.substring(F.col(c), F.lit(1), F.char_length(c) - F.col("_back"))
+    step = step.select(*names, rest("a").alias("a"), rest("b").alias("b"))
+    if edits == 1:
+        step = step.where(F.greatest(F.char_length("a"), F.char_length("b")) < 3 * PART)
+    return step.where(distance("a", "b", edits) <= edits).select(*names)
+
+
 def _order(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(_LAST))
 
@@ -135,13 +164,15 @@ def _order(doc_id: Column) -> Column:
 def line_table(docs: DataFrame, edits: int) -> DataFrame:
     """The distinct lines of each document: ``doc``, two hashes ``h`` and ``g``, the position ``at``, the keys."""
     lines = docs.select(_order(F.col("doc_id")).alias("doc"), F.posexplode(lines_of(F.col("text"))).alias("at", "raw"))
-    lines = lines.select("doc", "at", trimmed(F.col("raw")).alias("line")).where(F.char_length("line") >= MIN_LENGTH)
-    return lines.select("doc", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"), keys_of(F.col("line"), edits).alias("keys"))
+    lines = lines.select("doc", "at", trimmed(F.col("raw")).alias("line"))
+    lines = lines.select("doc", "at", "line", F.char_length("line").alias("length")).where(F.col("length") >= MIN_LENGTH)
+    keys = keys_of(F.col("line"), F.col("length"), edits)
+    return lines.select("doc", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"), keys.alias("keys"))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs of different lines with a key in common: (h, g, h2, g2), the smaller first."""
-    keyed = lines.select(F.explode("keys").alias("key"), "h", "g")
+    keyed = lines.select(F.explode("keys").alias("key"), "h", "g").where("key IS NOT NULL")
     shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
     some = written(keyed.join(small(written(shared, "shared-keys")), "key").distinct(), "shared-lines")
     other = some.select("key", F.col("h").alias("h2"), F.col("g").alias("g2"))
@@ -159,7 +190,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     both = pairs.join(texts.withColumnRenamed("line", "a"), ["h", "g"])
     both = both.join(texts.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("b")), ["h2", "g2"])
     name = lambda h, g: F.concat(F.hex(h), F.lit("-"), F.hex(g))
-    links = both.where(distance("a", "b", edits) <= edits).select(name("h", "g").alias("a"), name("h2", "g2").alias("b"))
+    links = within(both, edits).select(name("h", "g").alias("a"), name("h2", "g2").alias("b"))
     classes = components(links)
     named = ends.withColumn("node", name("h", "g"))
     return named.join(classes, "node").select("h", "g", F.col("component").alias("class"))

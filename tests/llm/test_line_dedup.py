@@ -80,6 +80,9 @@ def test_distance(spark, edits):
     for r in frame.collect():
         want = levenshtein(r.a, r.b)
         assert r.d == want if want <= edits else r.d > edits, (r.a, r.b, r.d, want)
+    numbered = [(k, a, b) for k, (a, b) in enumerate(rows)]
+    near = line_dedup.within(spark.createDataFrame(numbered, "k INT, a STRING, b STRING"), edits)
+    assert sorted(r.k for r in near.collect()) == [k for k, a, b in numbered if levenshtein(a, b) <= edits]
 
 
 @pytest.mark.parametrize("edits", [1, 2])
