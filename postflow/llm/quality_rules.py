@@ -184,14 +184,22 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.join(limits, same, "left").select(*[rows[f"`{c}`"] for c in rows.columns], F.coalesce(good, F.lit(False)).alias("kept"))
 
 
+def _limits(docs: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The measures, written without the texts, and the limits that follow from them.
+
+    Measures have to be written before they are filtered: Spark moves a filter in front of what computes its columns,
+    and would compute them for every element of the arrays they are made of.
+    """
+    rows = written(measured(docs).drop("text"), "quality-measures")
+    return rows, small(written(thresholds(sketch(rows), min_rows), "quality-limits"))
+
+
 def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """One row per document: the columns but its text, the counts and rates, ``base_failed`` and ``kept``.
 
     The measures are computed once and written, without the texts; sketches and verdicts read them.
     """
-    rows = written(measured(docs).drop("text"), "quality-measures")
-    limits = small(written(thresholds(sketch(rows), min_rows), "quality-limits"))
-    return judged(rows, limits)
+    return judged(*_limits(docs, min_rows))
 
 
 def keep_good(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -200,6 +208,9 @@ def keep_good(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     The texts are never shuffled: the measures are computed a second time beside them, against limits small enough to
     be sent to every executor (checked; a larger table of limits is joined by a shuffle).
     """
-    limits = small(written(thresholds(sketch(measured(docs)), min_rows), "quality-limits"))
-    kept = judged(measured(docs), limits).where("kept")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    _, limits = _limits(docs, min_rows)
+    # columns of the input that are named like a measure are put aside
+    columns = docs.columns
+    numbered = docs.select(*[F.col(f"`{c}`").alias(c if c in ("text", "lang", "source") else f"_in{i}") for i, c in enumerate(columns)])
+    kept = judged(measured(numbered), limits).where("kept")
+    return kept.select(*[F.col(c if c in ("text", "lang", "source") else f"_in{i}").alias(c) for i, c in enumerate(columns)])
