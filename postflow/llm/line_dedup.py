@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postflow.llm.common import SPACE_CHARS, small, text_of, written
+from postflow.llm.common import SPACE_CHARS, small, written
 from postflow.llm.components import components
 
 MIN_LENGTH = 20

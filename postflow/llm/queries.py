@@ -9,7 +9,6 @@ from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from postflow.llm import decontaminate, html_text, license_scan, line_dedup, ngram_join, packing, pii_surrogates, quality_rules, substring_dedup, token_counts
 from postflow.llm.common import read
