@@ -2,13 +2,15 @@
 
 A page is read into a tree as forgivingly as browsers do it: missing end tags, stray end tags, raw text elements, a page
 that ends within a tag. Parts that are no article by their kind or by their name (menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments) are left out.
+notices, adverts, forms, reader comments) are left out. A name says nothing if it is negated or about the layout
+("no-comments", "with-sidebar"), and a wrapper stays whatever its name: an element that has all of the page's articles in
+it or, without an article elsewhere, most of the text that is not in links. Reader comments are no wrapper.
 
 Every block with text of its own is a paragraph. It has a point, one more for each comma and one more for every hundred
 characters, three at most; its parent gets them all, the grandparent half, ancestors beyond that a share that shrinks with
 the distance. What an element has got counts as far as its text is not in links. The best element is the container. Its
-siblings are kept with it if they score a fifth of it, or if they are paragraphs of prose. Lists of links inside of what
-is kept are left out.
+siblings are kept with it if they score a fifth of it, or if they are paragraphs of prose, short ones too. All lists in
+a container are kept; only if the page as a whole is the container, lists of links are menus and left out.
 
 Each page is one row, and its text one narrow pass.
 """
@@ -39,7 +41,7 @@ DROPPED = frozenset(
     "svg canvas audio video dialog menu noembed noframes map".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-#: Elements that are menus if most of their text is in links.
+#: Elements that are menus if most of their text is in links and no container is around them.
 LINK_LISTS = frozenset("ul ol dl div section table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
@@ -61,6 +63,10 @@ NAMES = frozenset(
     "recommended related reply replies respond rss share sharing shares sidebar sidenav signup skip social sponsor "
     "sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+#: Those of reader comments.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words before a name, in one class or id, and behind it, that say it is absent or a property of the layout.
+BEFORE, BEHIND = frozenset("has have with no non not without hide".split()), frozenset(("free", "less"))
 # End of fixed values.
 
 _TAG = re.compile(
@@ -74,10 +80,10 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "children", "parent", "dropped", "score", "length", "linked")
+    __slots__ = ("tag", "children", "parent", "dropped", "names", "score", "length", "linked")
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Element | None, dropped: bool = False, names: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.dropped, self.names = tag, parent, dropped, names
         self.children: list[Element | str] = []
         self.score = 0.0
         self.length = self.linked = 0
@@ -102,11 +108,59 @@ def _dropped(tag: str, attributes: str, stack: list[Element]) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and tag not in ARTICLE and any(w.lower() in NAMES for w in _NAME.findall(value)):
-            return True
     return False
 
 
+def _names(tag: str, attributes: str) -> frozenset[str]:
+    """The words in its class and id that say that an element is no article."""
+    found = set()
+    if attributes and tag not in ARTICLE:
+        for match in _ATTRIBUTE.finditer(attributes):
+            if match[1].lower() in ("class", "id"):
+                for name in (match[2] or "").strip("\"'").split():
+                    words = [w.lower() for w in _NAME.findall(name)]
+                    found.update(
+                        w for i, w in enumerate(words) if w in NAMES and BEFORE.isdisjoint(words[:i]) and BEHIND.isdisjoint(words[i + 1 : i + 2])
+                    )
+    return frozenset(found)
+
+
+def _drop_named(root: Element) -> None:
+    """Drops the elements that are no article by their name, but for wrappers."""
+    order, links = [root], {}
+    for element in order:  # parents before children
+        links[id(element)] = element.tag == "a" or element.parent is not None and links[id(element.parent)]
+        order += [c for c in element.children if isinstance(c, Element) and not c.dropped]
+    if not any(e.names for e in order):
+        return
+    weight, holds = dict.fromkeys(map(id, order), 0), set()
+    for element in reversed(order):
+        if not links[id(element)]:
+            weight[id(element)] += sum(len(" ".join(c.split())) for c in element.children if isinstance(c, str))
+        if element.tag in ARTICLE:
+            holds.add(id(element))
+        if element.parent is not None and not element.names & COMMENTS:
+            weight[id(element.parent)] += weight[id(element)]
+            if id(element) in holds:
+                holds.add(id(element.parent))
+    article, reached = False, [(root, False)]
+    while reached:
+        named: list[tuple[Element, bool]] = []
+        for element, inside in reached:
+            inside = inside or element.tag in ARTICLE
+            article = article or inside
+            for child in element.children:
+                if isinstance(child, Element) and not child.dropped:
+                    (named if child.names else reached).append((child, inside))
+        reached = []
+        for element, inside in named:
+            most = 2 * weight[id(element)] > weight[id(root)] and (inside or not article)
+            if not element.names & COMMENTS and (most or id(element) in holds and not article):
+                reached.append((element, inside))
+            else:
+                element.dropped = True
+
+
 def parse(html: str) -> Element:
     """The tree of a page."""
     root = Element("html", None)
@@ -153,13 +207,14 @@ def parse(html: str) -> Element:
                     close_to(k)
                 elif stack[k].tag in scope:
                     break
-        element = Element(tag, stack[-1], _dropped(tag, match[3], stack))
+        element = Element(tag, stack[-1], _dropped(tag, match[3], stack), _names(tag, match[3]))
         stack[-1].children.append(element)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
             at = close.end() if close else end
-        elif tag not in VOID and not (match[3].endswith("/") and element.dropped):
+        elif tag not in VOID and not (match[3].endswith("/") and (element.dropped or element.names)):
             stack.append(element)
+    _drop_named(root)
     return root
 
 
@@ -216,7 +271,7 @@ def _kept(root: Element) -> list[Element]:
     for sibling in best.parent.children:
         if isinstance(sibling, str) or sibling.dropped:
             continue
-        prose = sibling.tag == "p" and sibling.length > 80 and sibling.linked < sibling.length / 4
+        prose = sibling.tag == "p" and sibling.linked < sibling.length / 4
         if sibling is best or prose or (sibling.tag not in INLINE and sibling.points() >= max(least, 1)) or sibling.tag in HEADINGS:
             kept.append(sibling)
     return kept
@@ -234,6 +289,7 @@ def _similar(best: Element, scored: list[Element]) -> bool:
 
 def _blocks(elements: list[Element]) -> list[str]:
     """The text of each block, in page order."""
+    whole = any(e.parent is None for e in elements)
     blocks: list[list[str]] = [[]]
     todo: list[Element | str | None] = list(reversed(elements))
     while todo:
@@ -244,7 +300,7 @@ def _blocks(elements: list[Element]) -> list[str]:
             blocks[-1].append(item)
         elif item.tag in ("br", "hr") or item.tag in VOID:
             blocks[-1].append(" ") if item.tag != "hr" else blocks.append([])
-        elif not item.dropped and not (item.tag in LINK_LISTS and item.linked > 0.6 * item.length):
+        elif not item.dropped and not (whole and item.tag in LINK_LISTS and item.linked > 0.6 * item.length):
             edge = [] if item.tag in INLINE else [None]
             todo += [*edge, *reversed(item.children), *edge]
     texts = (" ".join("".join(parts).split()) for parts in blocks)
