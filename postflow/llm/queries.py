@@ -10,7 +10,21 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postflow.llm import decontaminate, html_text, license_scan, line_dedup, ngram_join, packing, pii_surrogates, quality_rules, substring_dedup, token_counts
+from postflow.llm import (
+    centroids,
+    decontaminate,
+    filter_audit,
+    html_text,
+    license_scan,
+    line_dedup,
+    ngram_join,
+    oracles,
+    packing,
+    pii_surrogates,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+)
 from postflow.llm.common import read
 
 
@@ -153,6 +167,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -164,10 +186,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
     "op4_quality_rules": f"""WITH {QUALITY_MEASURES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM verdict""",
     "op9_license_scan": license_sql(),
+    "op11_filter_audit": oracles.FILTER_AUDIT_SQL,
+    "op13_centroids": oracles.CENTROID_SQL,
 }
