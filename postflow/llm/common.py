@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,24 @@ def words_of(text: Column) -> Column:
     return F.when(F.octet_length(trimmed) > 0, F.split(trimmed, SPACES)).otherwise(F.array().cast("array<string>"))
 
 
+def exact_id(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``df`` with its ids as decimal text: beside a null, pandas makes doubles of a column of longs."""
+    return df.withColumn(name, F.col(name).cast("string"))
+
+
+def longs(values: list) -> pd.api.extensions.ExtensionArray:
+    """A pandas column of longs with nulls, not by way of doubles."""
+    return pd.array([None if v is None else int(v) for v in values], dtype="Int64")
+
+
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, Column]]:
+    """``docs`` with the columns that are not ``used`` under names that no operator has, and these columns by their
+    names in ``docs``."""
+    names = {c: c if c in used else f"_in{i}" for i, c in enumerate(docs.columns)}
+    moved = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return moved, {c: F.col(n).alias(c) for c, n in names.items()}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: it is computed once, and a lost executor loses nothing of it."""
     path = new_shared_path(df.sparkSession, name)

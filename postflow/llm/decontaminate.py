@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from postflow.llm.common import bound_batches, text_of
+from postflow.llm.common import bound_batches, exact_id, text_of
 
 #: Most edits, as a share of an item's length.
 MAX_EDITS = 0.2
@@ -246,7 +246,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """A row for each document and item in it: ``doc_id``, ``item_id``, ``start`` (in the normalised text), ``edits``."""
     bound_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    texts = exact_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
     result = None
     for items in blocks(benchmark):
 
@@ -258,10 +258,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -
                     for doc_id, leaked in zip(batch["doc_id"], _in_parts(detect, batch["text"].tolist()))
                     for leak in leaked
                 ]
-                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "edits"])
-                yield frame.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "edits"])
 
-        rows = texts.mapInPandas(found, "doc_id BIGINT, item_id BIGINT, start BIGINT, edits BIGINT")
+        rows = texts.mapInPandas(found, "doc_id STRING, item_id BIGINT, start BIGINT, edits BIGINT")
+        rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
         result = rows if result is None else result.unionByName(rows)
     return result
 

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postflow.llm.common import text_of
+from postflow.llm.common import aside, text_of
 
 # Sentences of public licence texts, names of licences, and rules over both.
 SENTENCES = {
@@ -226,7 +226,8 @@ def scan(docs: DataFrame) -> DataFrame:
     replaced. An empty table gives an empty table. Texts are read whole, whatever their length.
     """
     results = ("licenses", "sentence_ids", "unmatched")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *results)]
+    docs, named = aside(docs, "text")
+    kept = [F.col(c) for c in docs.columns if c != "text"]
     text = text_of()
     found = F.filter(F.transform(sentences(text), _identifier), lambda i: i.isNotNull())
     step = docs.select(*kept, F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>")).alias("_ids"))
@@ -242,7 +243,7 @@ def scan(docs: DataFrame) -> DataFrame:
         left = F.replace(left, sequence, F.lit(""))
     some = F.col("sentence_ids") != ""
     return step.select(
-        *kept,
+        *[column for c, column in named.items() if c not in ("text", *results)],
         F.when(some, F.array_join(F.array_distinct(F.array(*taken)), "|")).otherwise("").alias("licenses"),
         "sentence_ids",
         F.when(some, F.btrim(F.replace(F.replace(left, gap, F.lit("")), F.lit("||"), F.lit("|")), F.lit("|"))).otherwise("").alias("unmatched"),

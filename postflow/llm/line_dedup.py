@@ -1,8 +1,9 @@
 """Lines that occur before in the corpus, also with a few edits, removed: a segment-partition edit join.
 
-**Classes.** Lines of ``MIN_LENGTH`` characters or more are compared, without the white space around them. Equal lines
-are one class, and so are lines that are linked by pairs of at most ``edits`` edits. The first line of a class stays; the
-order is by document id, then by position.
+**Classes.** Lines with a word are compared, without the white space around them. Equal lines are one class, and so are
+lines of ``EDIT_LENGTH`` characters or more that are linked by pairs of at most ``edits`` edits: in a shorter line one
+edit is more than a thirtieth of it and often another meaning. The first line of a class stays; the order is by document
+id, then by position.
 
 **Join.** A line of ``EDIT_LENGTH`` characters or more is cut into ``edits + 1`` segments of even length. Of two lines at
 most ``edits`` apart, one segment of the shorter is found whole in the longer, shifted by no more than the edits around
@@ -14,9 +15,9 @@ and maximum, and only the others are joined. Candidates are verified by a banded
 **Distribution.** All of it is column expressions. What is shuffled for the join are hashes; a line of a third of all
 documents is one row per document there, with combined minima. The texts are shuffled once, to meet what is removed.
 
-**Defined cases.** A null text stays null and has no lines. Shorter lines stay and are not compared. Rows with equal ids
-are one document: they are not compared with each other, and null ids are one document behind all others. Columns other
-than ``text`` stay as they are.
+**Defined cases.** A null text stays null and has no lines. Lines of white space stay and are not compared. Rows with
+equal ids are one document: they are not compared with each other, and null ids are one document behind all others.
+Columns other than ``text`` stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postflow.llm.common import SPACE_CHARS, small, written
+from postflow.llm.common import SPACE_CHARS, aside, small, written
 from postflow.llm.components import components
 
-MIN_LENGTH = 20
+#: Lines from here on are joined by edits.
 EDIT_LENGTH = 30
 #: Edits between lines of a class. A band of 2 * edits + 1 bits must fit into a long.
 EDITS = 1
@@ -143,7 +144,9 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
     """The pairs of lines ``a``, ``b`` with at most ``edits`` edits.
 
     Equal beginnings and endings are cut off first, which leaves the distance as it is. One edit leaves less than three
-    parts, so with one edit allowed longer rests need no distance.
+    parts, so with one edit allowed longer rests need no distance. What is left of the lines, and then the distance, are
+    written before they are used: Spark would put their expressions into each other, and into the filter, and compute
+    them once for every place in which they are named.
     """
     names = [c for c in pairs.columns if c not in ("a", "b")]
     step = pairs.select(*names, "a", "b", _equal_parts("a", "b", False).alias("_front"))
@@ -152,9 +155,11 @@ def within(pairs: DataFrame, edits: int) -> DataFrame:
     step = step.select(*names, "a", "b", _equal_parts("a", "b", True).alias("_back"))
     rest = lambda c: F.substring(F.col(c), F.lit(1), F.char_length(c) - F.col("_back"))
     step = step.select(*names, rest("a").alias("a"), rest("b").alias("b"))
+    step = written(step, "line-rests")
     if edits == 1:
         step = step.where(F.greatest(F.char_length("a"), F.char_length("b")) < 3 * PART)
-    return step.where(distance("a", "b", edits) <= edits).select(*names)
+    judged = written(step.select(*names, distance("a", "b", edits).alias("distance")), "line-distances")
+    return judged.where(F.col("distance") <= edits).select(*names)
 
 
 def _order(doc_id: Column) -> Column:
@@ -165,7 +170,7 @@ def line_table(docs: DataFrame, edits: int) -> DataFrame:
     """The distinct lines of each document: ``doc``, two hashes ``h`` and ``g``, the position ``at``, the keys."""
     lines = docs.select(_order(F.col("doc_id")).alias("doc"), F.posexplode(lines_of(F.col("text"))).alias("at", "raw"))
     lines = lines.select("doc", "at", trimmed(F.col("raw")).alias("line"))
-    lines = lines.select("doc", "at", "line", F.char_length("line").alias("length")).where(F.col("length") >= MIN_LENGTH)
+    lines = lines.select("doc", "at", "line", F.char_length("line").alias("length")).where(F.col("length") > 0)
     keys = keys_of(F.col("line"), F.col("length"), edits)
     return lines.select("doc", "at", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"), keys.alias("keys"))
 
@@ -210,24 +215,25 @@ def removals(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return repeated.unionByName(later).groupBy("doc").agg(F.collect_set("h").alias("removed"))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``docs`` with ``text`` without removed lines, and ``n_lines`` and ``n_removed``."""
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")])
+def dedup(docs: DataFrame, edits: int = EDITS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with ``text`` without removed lines, and the numbers of its lines and of those removed, named ``counts``
+    (columns of these names are replaced)."""
+    docs, named = aside(docs, "doc_id", "text")
     gone = removals(docs, edits).select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed"))
     joined = docs.withColumn("_order", _order(F.col("doc_id"))).join(gone, F.col("_order") == F.col("_doc"), "left")
     step = joined.withColumn("_lines", lines_of(F.col("text"))).withColumn("_hashes", F.transform("_lines", lambda line: F.xxhash64(trimmed(line))))
 
     def stays(line: Column, i: Column) -> Column:
         h = F.get(F.col("_hashes"), i)
-        long = F.char_length(trimmed(line)) >= MIN_LENGTH
+        words = F.char_length(trimmed(line)) > 0
         again = F.array_position("_hashes", h) <= i
-        return ~long | ~(F.coalesce(F.array_contains("_removed", h), F.lit(False)) | again)
+        return ~words | ~(F.coalesce(F.array_contains("_removed", h), F.lit(False)) | again)
 
     step = step.withColumn("_kept", F.filter("_lines", stays))
     text = F.when(F.size("_kept") < F.size("_lines"), F.array_join("_kept", "\n")).otherwise(F.col("text"))
     n = F.when(F.octet_length("text") > 0, F.size("_lines")).otherwise(0)
     return step.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed"),
+        *[text.alias("text") if c == "text" else column for c, column in named.items() if c not in counts],
+        F.coalesce(n, F.lit(0)).cast("long").alias(counts[0]),
+        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias(counts[1]),
     )

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postflow.llm.common import bound_batches, text_of, written
+from postflow.llm.common import bound_batches, exact_id, longs, text_of, written
 
 #: Window lengths, longest first.
 TIERS = (4096, 2048, 1024, 512)
@@ -208,8 +208,8 @@ def word_encoder(model: str) -> Encode:
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
-    return frame.astype({name: "Int64" for name in columns if name != "ids"})
+    values = zip(*rows) if rows else [()] * len(columns)
+    return pd.DataFrame({name: list(column) if name == "ids" else longs(column) for name, column in zip(columns, values)})
 
 
 def _pack_blocks(encoder: Callable[[], Encode], tiers: tuple[int, ...], end: int):
@@ -244,8 +244,10 @@ def _pack_blocks(encoder: Callable[[], Encode], tiers: tuple[int, ...], end: int
 def _pack_leftovers(tiers: tuple[int, ...]):
     def leftovers(pieces: pd.DataFrame) -> pd.DataFrame:
         packer = Packer(tiers)
-        for p in pieces.sort_values(["block", "doc_id", "start"]).itertuples():
-            packer.add(Piece(None if pd.isna(p.doc_id) else int(p.doc_id), int(p.start), bytes(p.ids), int(p.doc_tokens)))
+        ids = [None if pd.isna(i) else int(i) for i in pieces["doc_id"]]
+        rows = list(zip(pieces["block"], ids, pieces["start"], pieces["ids"], pieces["doc_tokens"]))
+        for _, doc_id, start, data, tokens in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2])):
+            packer.add(Piece(doc_id, int(start), bytes(data), int(tokens)))
         packer.close(packer.pack())
         # behind the windows that the first of these blocks has closed itself
         first = (int(pieces["block"].min()) << WINDOW_BITS) + (1 << (WINDOW_BITS - 1))
@@ -266,10 +268,10 @@ def pack(docs: DataFrame, encoder: Callable[[], Encode], end: int, tiers: tuple[
     an empty table. A text is encoded whole; one longer than a block makes a block of its own.
     """
     bound_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    texts = exact_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
     packed = texts.mapInPandas(_pack_blocks(encoder, tiers, end), f"{PIECE}, block BIGINT, ids BINARY")
     first = written(packed, "packed-blocks")
     partitions, blocks = F.expr(f"shiftright(block, {BLOCK_BITS})"), F.expr(f"block & {(1 << BLOCK_BITS) - 1}")
-    left = first.where("ids IS NOT NULL").groupBy((F.floor(partitions / FAN_IN)).alias("p"), (F.floor(blocks / FAN_IN)).alias("b"))
+    left = exact_id(first.where("ids IS NOT NULL")).groupBy((F.floor(partitions / FAN_IN)).alias("p"), (F.floor(blocks / FAN_IN)).alias("b"))
     second = left.applyInPandas(_pack_leftovers(tiers), PIECE)
     return first.where("ids IS NULL").select(*COLUMNS).unionByName(second)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postflow.llm.common import small, text_of, written
+from postflow.llm.common import aside, small, text_of, written
 
 # Names and syllables of surrogates, titles, patterns.
 GIVEN = {
@@ -303,7 +303,7 @@ def replace(docs: DataFrame, secret: str) -> DataFrame:
     same surrogates in all of them. Columns other than ``text`` stay; ``n_entities`` of the input is replaced. An empty
     table gives an empty table.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "n_entities"])
+    docs, named = aside(docs, "doc_id", "text")
     found = docs.select("doc_id", F.explode(_matches(text_of())).alias("m")).select("doc_id", _described(F.col("m")).alias("d"))
     mentions = found.groupBy("doc_id", "d.kind", "d.value").agg(F.min("d.gender").alias("gender"))
     mentions = written(mentions.withColumnRenamed("doc_id", "_doc_id"), "mentions")
@@ -322,4 +322,5 @@ def replace(docs: DataFrame, secret: str) -> DataFrame:
     woven = F.array_join(F.zip_with(between, F.transform("_found", shown), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     text = F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))
     n = F.coalesce(F.size("_found"), F.lit(0)).cast("long")
-    return matched.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.greatest(n, F.lit(0)).alias("n_entities"))
+    kept = [text.alias("text") if c == "text" else column for c, column in named.items() if c != "n_entities"]
+    return matched.select(*kept, F.greatest(n, F.lit(0)).alias("n_entities"))

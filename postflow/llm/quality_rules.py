@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postflow.llm.common import SPACE_CHARS, small, text_of, words_of, written
+from postflow.llm.common import SPACE_CHARS, aside, small, text_of, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -199,7 +199,10 @@ def judge(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 
     The measures are computed once and written, without the texts; sketches and verdicts read them.
     """
-    return judged(*_limits(docs, min_rows))
+    docs, named = aside(docs, "text", "lang", "source")
+    rows = judged(*_limits(docs, min_rows))
+    new = [c for c in rows.columns if c not in docs.columns]
+    return rows.select(*[column for c, column in named.items() if c != "text" and c not in new], *new)
 
 
 def keep_good(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -208,9 +211,7 @@ def keep_good(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     The texts are never shuffled: the measures are computed a second time beside them, against limits small enough to
     be sent to every executor (checked; a larger table of limits is joined by a shuffle).
     """
-    _, limits = _limits(docs, min_rows)
+    _, limits = _limits(docs.select("text", "lang", "source"), min_rows)
     # columns of the input that are named like a measure are put aside
-    columns = docs.columns
-    numbered = docs.select(*[F.col(f"`{c}`").alias(c if c in ("text", "lang", "source") else f"_in{i}") for i, c in enumerate(columns)])
-    kept = judged(measured(numbered), limits).where("kept")
-    return kept.select(*[F.col(c if c in ("text", "lang", "source") else f"_in{i}").alias(c) for i, c in enumerate(columns)])
+    docs, named = aside(docs, "text", "lang", "source")
+    return judged(measured(docs), limits).where("kept").select(*named.values())

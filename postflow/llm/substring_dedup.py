@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postflow.llm.common import text_of
+from postflow.llm.common import exact_id, longs, text_of
 
 WINDOW = 20
 ANCHOR = 8
@@ -88,7 +88,7 @@ class Cell(NamedTuple):
 
 def read_cell(docs: pd.DataFrame) -> Cell:
     counts = docs.groupby(["doc_id", "text_key", "text"], dropna=False, sort=False).size().reset_index(name="n")
-    ids = counts["doc_id"].astype("Int64").fillna(_LAST).to_numpy(dtype=np.int64)
+    ids = np.array([_LAST if pd.isna(i) else int(i) for i in counts["doc_id"]], dtype=np.int64)
     keys = counts["text_key"].to_numpy(dtype=np.int64)
     order = np.lexsort((keys, ids))
     if len(_hashes) > MAX_WORDS:
@@ -276,7 +276,8 @@ def _remove(docs: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
         digest = hashlib.sha256(" ".join(kept).encode()).hexdigest()
         doc_id = None if cell.ids[k] == _LAST else int(cell.ids[k])
         rows += [(doc_id, len(words), int(here.sum()), digest)] * cell.rows[k]
-    return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+    columns = dict(zip(names, zip(*rows) if rows else [()] * len(names)))
+    return pd.DataFrame({**columns, "doc_id": longs(columns["doc_id"])})
 
 
 def dedup(docs: DataFrame, cell_bytes: int = CELL_BYTES) -> DataFrame:
@@ -288,7 +289,7 @@ def dedup(docs: DataFrame, cell_bytes: int = CELL_BYTES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(cells)))
-    in_cells = rows.groupBy("cell")
+    in_cells = exact_id(rows).groupBy("cell")
     anchors = in_cells.applyInPandas(_send_anchors(buckets), "bucket BIGINT, cell BIGINT, hashes BINARY")
     shared = anchors.groupBy("bucket").applyInPandas(_share_anchors, "cell BIGINT, hashes BINARY")
     windows = in_cells.cogroup(shared.groupBy("cell")).applyInPandas(

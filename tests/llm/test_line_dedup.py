@@ -3,7 +3,7 @@ import random
 import pytest
 
 from postflow.llm import line_dedup, queries
-from postflow.llm.common import read
+from postflow.llm.common import read, written
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -29,7 +29,7 @@ def brute_force(docs, edits, near=True):
     """(doc_id, n_lines, n_removed, text); documents have different ids."""
     docs = sorted(docs, key=lambda d: (d[0] is None, d[0]))
     distinct = {line.strip(SPACE) for _, text in docs for line in (text or "").split("\n")}
-    distinct = sorted((line for line in distinct if len(line) >= 20), key=len)
+    distinct = sorted((line for line in distinct if line), key=len)
     parent = {line: line for line in distinct}
 
     def find(x):
@@ -48,7 +48,7 @@ def brute_force(docs, edits, near=True):
         kept, lines = [], (text or "").split("\n")
         for line in lines:
             core = line.strip(SPACE)
-            if len(core) >= 20:
+            if core:
                 if find(core) in seen:
                     continue
                 seen.add(find(core))
@@ -109,5 +109,22 @@ def test_edge_rows(spark):
     line = "a line that is long enough to be compared"
     docs = spark.createDataFrame([(1, f"{line}\n{line}\nx\nx", 1), (1, line, 2), (2, f"{line}!\ny", 3)], "doc_id BIGINT, text STRING, n_lines INT")
     rows = sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup(docs).collect())
-    assert rows == [(1, 1, 0, line), (1, 4, 1, f"{line}\nx\nx"), (2, 2, 1, "y")]
+    assert rows == [(1, 1, 0, line), (1, 4, 2, f"{line}\nx"), (2, 2, 1, "y")]
     assert line_dedup.dedup(docs.where("false")).collect() == []
+
+
+def test_filters_stay_small(spark, monkeypatch):
+    """What is computed for the distance is not put into the filters behind it."""
+    seen = []
+
+    def kept(df, name):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", kept)
+    pairs = spark.createDataFrame([(1, "a" * 60, "a" * 60 + "b")], "k INT, a STRING, b STRING")
+    result = line_dedup.within(pairs, 1)
+    assert [r.k for r in result.collect()] == [1]
+    seen.append(result._jdf.queryExecution().optimizedPlan().toString())
+    filters = [line for plan in seen for line in plan.split("\n") if "Filter" in line.split("(")[0]]
+    assert filters and max(map(len, filters)) < 500
