@@ -114,7 +114,8 @@ def latest_by_version(
 ) -> DataFrame:
     """The row with the newest version per key; of equal versions the first arrival."""
     rest = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(version, -F.col(arrival))).alias("_row"))
+    newest_first = F.struct(F.col(version).isNull(), -F.col(version), F.col(arrival))
+    picked = df.groupBy(key).agg(F.min_by(F.struct(*rest), newest_first).alias("_row"))
     return picked.select(key, "_row.*")
 
 

@@ -31,9 +31,10 @@ from postflow.operators.state import (
 from postflow.sinks.archive import write_bronze
 from postflow.sinks.publish import republish
 from postflow.sinks.tables import STATE_BUCKETS, BatchLog, KeyedTable, id_bucket
-from postflow.sources.envelopes import read_archive, read_legacy_ids, stamp_arrival, to_bus_events
+from postflow.sources.envelopes import CORRUPT, read_archive, read_legacy_ids, split_readable, stamp_arrival, stream_errors, to_bus_events, unreadable
 from postflow.sources.lists import scan_state_by_year
 from postflow.streaming.operators import dedupe_stream, run_batches
+from postflow.streaming.post_state import EXPIRED, keyed_events, state_changes
 
 _TEXT = T.StringType()
 _STATE_FIELDS = [*schemas.STATE.fields, T.StructField("bucket", _TEXT)]
@@ -48,6 +49,17 @@ _SCORED = T.StructType(
 )
 
 
+UNREADABLE = T.StructType(
+    [
+        T.StructField("place", _TEXT),
+        T.StructField("position", T.LongType()),
+        T.StructField("line", T.LongType()),
+        T.StructField("reason", _TEXT),
+        T.StructField("record", _TEXT),
+    ]
+)
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """The tables of one deployment below a shared ``root``."""
@@ -86,6 +98,16 @@ class Warehouse:
         flags = [T.StructField("fresh", T.BooleanType())]
         return BatchLog(f"{self.root}/touched", T.StructType([*_CHANGE_FIELDS, *flags]))
 
+    @property
+    def unreadable(self) -> BatchLog:
+        """Lines and files that could not be read, by the batch that met them."""
+        return BatchLog(f"{self.root}/unreadable", UNREADABLE)
+
+    @property
+    def stream_errors(self) -> BatchLog:
+        """What the stream itself reported as errors."""
+        return BatchLog(f"{self.root}/stream-errors", T.StructType([T.StructField("id", _TEXT), *schemas.ERRORS.elementType.fields]))
+
     @property
     def scored(self) -> BatchLog:
         return BatchLog(f"{self.root}/scored", _SCORED)
@@ -165,18 +187,36 @@ def ingest_batch(events: DataFrame, tag: str, config: IngestConfig) -> None:
     spark, house = events.sparkSession, config.warehouse
     if house.gold.version_of(spark, tag) is not None:
         return
-    now = F.current_timestamp() if config.now is None else config.now
     events = stamp_arrival(events).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if events.isEmpty():  # a stream with state also runs batches without data
             return
         if config.archive:
             write_bronze(filters.archivable(events), house.bronze, tag, house.bronze_errors)
+        set_aside(events, house, tag)
+        events = events.where(F.col("data.id").isNotNull())
         before = house.state.read(spark, before=tag)
         touched = house.touched.save(touched_rows(events, before, config), tag)
     finally:
         events.unpersist()
 
+    changes = analysed_changes(touched, tag, config)
+    kept = house.state.touched(before, changes).join(changes.select("id"), "id", "left_anti")
+    house.state.write(kept.unionByName(changes.drop("event_name")), tag)
+    index_changes(changes, house, tag)
+
+
+def set_aside(events: DataFrame, house: Warehouse, tag: str) -> None:
+    """Lines that are no envelope to the log of unreadable ones, errors that the stream reported to theirs."""
+    if CORRUPT in events.columns:
+        house.unreadable.write(split_readable(events)[1], tag)
+    house.stream_errors.write(stream_errors(events), tag)
+
+
+def analysed_changes(touched: DataFrame, tag: str, config: IngestConfig) -> DataFrame:
+    """The touched rows with the analysis of those that are fresh, saved as the batch's part of the change log."""
+    spark, house = touched.sparkSession, config.warehouse
+    now = F.current_timestamp() if config.now is None else config.now
     cache = house.cache.read(spark, without=tag)
     text = F.when(F.col("fresh"), F.col("text"))
     analysed, cache_rows = analyze(
@@ -196,11 +236,7 @@ def ingest_batch(events: DataFrame, tag: str, config: IngestConfig) -> None:
             "normalized_text": F.when(fresh, F.col("analysis.normalized_text")).otherwise(F.col("normalized_text")),
         }
     )
-    changes = house.changes.save(images, tag)
-
-    kept = house.state.touched(before, changes).join(changes.select("id"), "id", "left_anti")
-    house.state.write(kept.unionByName(changes.drop("event_name")), tag)
-    index_changes(changes, house, tag)
+    return house.changes.save(images, tag)
 
 
 def index_changes(changes: DataFrame, house: Warehouse, tag: str) -> None:
@@ -225,16 +261,75 @@ def ingest(
 ) -> StreamingQuery:
     """Live ingest of an envelope stream; ``name`` identifies the checkpoint's batches in the tables.
 
-    Without ``interval`` it works off what is there and stops.
+    Without ``interval`` it works off what is there and stops. Envelopes read with ``arrival`` are merged in the order of
+    their source, others in that of the read; with ``corrupt`` lines that cannot be read are set aside.
     """
-    events = to_bus_events(envelopes)
-    if dedupe_window:
-        # repeats are recognised by arrival time: history replayed late must not count as late data
-        keyed = events.withColumns({"_id": F.col("data.id"), "_arrived": F.current_timestamp()})
-        events = dedupe_stream(keyed, "_id", dedupe_window, "_arrived").drop("_id", "_arrived")
+    events = _delivered_once(to_bus_events(envelopes), dedupe_window)
     return run_batches(events, lambda batch, epoch: ingest_batch(batch, f"{name}.{epoch}", config), checkpoint, interval)
 
 
+def _delivered_once(events: DataFrame, window: str | None) -> DataFrame:
+    """Repeated deliveries of a post dropped; lines without a post are told apart by where they stand."""
+    if not window:
+        return events
+    key = F.col("data.id")
+    if "arrival" in events.columns:
+        key = F.coalesce(key, F.concat_ws("|", "arrival.place", "arrival.position", "arrival.line"))
+    # repeats are recognised by arrival time: history replayed late must not count as late data
+    keyed = events.withColumns({"_id": key, "_arrived": F.current_timestamp()})
+    return dedupe_stream(keyed, "_id", window, "_arrived").drop("_id", "_arrived")
+
+
+def ingest_keyed(
+    envelopes: DataFrame,
+    config: IngestConfig,
+    checkpoint: str,
+    name: str = "keyed",
+    interval: str | None = None,
+    idle_ms: int | None = None,
+) -> StreamingQuery:
+    """Live ingest with the state of each post in the state store: no stored row is read or rewritten for a batch.
+
+    ``envelopes`` is a stream with ``arrival``. A repeated delivery changes nothing that is newer, so repeats need no
+    state of their own. The changes go through analysis and index and into the change log; :func:`compact_state` makes
+    a table of that. The archive is a stream of its own: :func:`postflow.streaming.operators.archive_stream`.
+    """
+    if "arrival" not in envelopes.columns:
+        raise ValueError("keyed ingest merges in the order of the source: read the envelopes with arrival")
+    if idle_ms is not None and interval is None:
+        raise ValueError("timers need a query that goes on: give an interval")
+    events = to_bus_events(envelopes)
+    main = filters.new_posts(events, config.denied_domains, config.deny_mode)
+    included = filters.included_posts(fanout(main), config.denied_domains, config.deny_mode)
+    puts, updates = (to_state_row(df, config.now, keep=["arrival"]) for df in (main, included))
+    changes = state_changes(keyed_events(puts, updates), idle_ms)
+    buckets = config.warehouse.buckets
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        spark, house, tag = batch.sparkSession, config.warehouse, f"{name}.{epoch}"
+        if house.gold.version_of(spark, tag) is not None:
+            return
+        touched = house.touched.save(batch.withColumn("bucket", id_bucket(F.col("id"), buckets)), tag)
+        index_changes(analysed_changes(touched, tag, config), house, tag)
+
+    return run_batches(changes, take, checkpoint, interval)
+
+
+def compact_state(spark: SparkSession, house: Warehouse, name: str, tag: str) -> None:
+    """The change log of :func:`ingest_keyed` (its ``name``) as the state table: of each post the last change, with the
+    analysis of its last fresh row. One shuffle of the log, whatever its number of batches."""
+    log = house.changes.read_tagged(spark).where(F.col("batch").startswith(f"{name}."))
+    epoch = F.substring_index("batch", ".", -1).cast("bigint")
+    analysis = ("normalized_text", "comprehend")
+    rest = [n for n in house.state.schema.names if n not in ("id", *analysis)]
+    last = log.groupBy("id").agg(
+        F.max_by(F.struct(*rest, "event_name"), epoch).alias("r"),
+        F.max_by(F.struct(*analysis), F.when(F.col("comprehend").isNotNull(), epoch)).alias("a"),
+    )
+    kept = last.where(F.col("r.event_name") != EXPIRED).select("id", "r.*", "a.*").select(*house.state.schema.names)
+    house.state.write(kept, tag)
+
+
 # --- history -----------------------------------------------------------------------------------
 
 
@@ -247,8 +342,9 @@ def reindex_year(house: Warehouse, spark: SparkSession, year: str, tag: str) ->
 def reindex_archive(
     spark: SparkSession, path: str | Sequence[str], house: Warehouse, scorer: LexiconScorer | PandasScorer, tag: str
 ) -> None:
-    """Archived envelopes to documents, analysis from the cache where it is there."""
-    events = stamp_arrival(to_bus_events(read_archive(spark, path)))
+    """Archived envelopes to documents, analysis from the cache where it is there; what cannot be read goes to its log."""
+    house.unreadable.write(unreadable(spark, path), tag)
+    events = to_bus_events(read_archive(spark, path, arrival=True))
     rows = last_row(to_state_row(events, keep=["arrival"])).drop("arrival")
     analysed, cache_rows = analyze(
         rows, house.cache.read(spark, without=tag), scorer, save=lambda scored: house.scored.save(scored, tag)

@@ -7,16 +7,18 @@ from pyspark.sql import types as T
 
 from postflow import schemas
 from postflow.operators.fanout import assemble_includes
+from postflow.operators.state import last_row
 from postflow.plans import bindings as B
-from postflow.plans.jobs import IngestConfig, Warehouse, ingest, reindex_archive, reingest
+from postflow.plans.jobs import IngestConfig, Warehouse, compact_state, ingest, ingest_keyed, reindex_archive, reingest
 from postflow.plans.queries.enrich import SCORER
 from postflow.plans.queries.registry import POST, lexicon, norm, query
 from postflow.session import new_shared_path
 from postflow.sinks.archive import write_bronze
 from postflow.sinks.publish import start_republish
 from postflow.sinks.tables import KeyedTable
-from postflow.sources.envelopes import read_archive, read_archive_days, read_envelopes, to_bus_events
+from postflow.sources.envelopes import audit_files, read_archive, read_archive_days, read_envelopes, split_readable, to_bus_events
 from postflow.streaming import operators as O
+from postflow.streaming.post_state import keyed_events, state_changes
 
 MICROS = "CAST(epoch_us(ts) AS BIGINT)"
 
@@ -193,3 +195,116 @@ def stream_republish(spark, d):
     out, checkpoint = new_shared_path(spark, "republished"), new_shared_path(spark, "checkpoint")
     _finish(start_republish(envelopes, out, checkpoint, available_now=True))
     return spark.read.schema("key STRING, value STRING").json(out).select("key")
+
+
+def _delivered(spark, d):
+    """Events as puts and updates of posts in files of several rounds: the puts, the updates in two parts, the older part
+    last, and every update once more."""
+    likes, k, none = F.floor("value"), F.get_json_object("props", "$.k").cast("bigint"), F.lit(None)
+    zero = F.lit(0).cast("bigint")
+    post_id = F.concat(F.col("user_id").cast("string"), F.lit("-"), (k % 20).cast("string"))
+    put = F.col("event_type").isin("view", "signup")
+    values = {
+        "id": post_id,
+        "text": F.when(put, F.col("event_type")).otherwise(F.concat(F.lit("inc-"), post_id)),
+        "public_metrics": F.struct(
+            zero.alias("retweet_count"), zero.alias("reply_count"), likes.alias("like_count"), zero.alias("quote_count")
+        ),
+        "updated_at": F.unix_micros(F.col("ts").cast("timestamp")),
+    }
+    columns = [values.get(f.name, none).cast(f.dataType).alias(f.name) for f in schemas.STATE.fields]
+    arrival = F.struct(
+        none.cast("timestamp").alias("time"), none.cast("string").alias("place"), F.col("event_id").alias("position"), none.cast("bigint").alias("line")
+    )
+    rows = B.table(spark, d, "events").select(put.alias("put"), arrival.alias("arrival"), *columns)
+    out = new_shared_path(spark, "deliveries")
+    half = rows.agg(F.percentile_approx("updated_at", 0.5)).first()[0]
+    newer = F.col("updated_at") > half
+    for part in (rows.where("put"), rows.where(~F.col("put") & newer), rows.where(~F.col("put") & ~newer), rows.where(~F.col("put"))):
+        # the rows of a post in one file: what arrives in one micro-batch is merged by its place
+        part.repartition(4, "id").write.mode("append").parquet(out)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(out)
+
+
+@query(
+    f"""WITH v AS (SELECT event_id, user_id || '-' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 20) AS id, {MICROS} AS updated_at,
+  CAST(floor(value) AS BIGINT) AS likes, event_type FROM events),
+s AS (SELECT id, arg_max(updated_at, event_id) AS updated_at, arg_max(likes, event_id) AS likes, arg_max(event_type, event_id) AS text
+  FROM v WHERE event_type IN ('view', 'signup') GROUP BY 1),
+n AS (SELECT id, arg_max(likes, {{'u': updated_at, 'a': -event_id}}) AS likes, max(updated_at) AS updated_at
+  FROM v WHERE event_type NOT IN ('view', 'signup') GROUP BY 1)
+SELECT id, CASE WHEN s.id IS NULL OR n.updated_at > s.updated_at THEN n.updated_at ELSE s.updated_at END AS updated_at,
+  CASE WHEN s.id IS NULL OR n.updated_at > s.updated_at THEN n.likes ELSE s.likes END AS likes, coalesce(s.text, 'inc-' || id) AS text
+FROM s FULL OUTER JOIN n USING (id)"""
+)
+def stream_keyed_state(spark, d):
+    """Latest state per post from the state store, over micro-batches with late, repeated and promoted posts."""
+    events = _delivered(spark, d)
+    changes = state_changes(keyed_events(events.where("put"), events.where(~F.col("put"))))
+    out = new_shared_path(spark, "changes")
+
+    def take(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    _finish(O.run_batches(changes, take, new_shared_path(spark, "checkpoint")))
+    rows = spark.read.schema(changes.schema.add("epoch", "long")).parquet(out)
+    last = rows.groupBy("id").agg(F.max_by(F.struct("updated_at", F.col("public_metrics.like_count").alias("likes"), "text"), "epoch").alias("r"))
+    return last.select("id", "r.*")
+
+
+@query(_TURNS)
+def ingest_keyed_state(spark, d):
+    """The whole way with the state in the state store; the state table is made of the change log behind it."""
+    house = Warehouse(new_shared_path(spark, "warehouse"), buckets=16)
+    envelopes = read_envelopes(spark, _thread_envelopes(spark, d), streaming=True, arrival=True)
+    _finish(ingest_keyed(envelopes, IngestConfig(house, SCORER), new_shared_path(spark, "checkpoint")))
+    compact_state(spark, house, "keyed", "compact.0")
+    state = house.state.read(spark).select("id", F.col("normalized_text").alias("in_state"))
+    return _gold(house, spark).join(state, "id", "left").where(F.col("normalized_text").eqNullSafe(F.col("in_state"))).drop("in_state")
+
+
+@query(
+    """SELECT user_id AS id, coalesce(arg_max(event_id, event_id) FILTER (WHERE event_type NOT IN ('view', 'signup')), max(event_id)) AS last
+FROM events GROUP BY 1"""
+)
+def last_row_over_files(spark, d):
+    """The last row per key over files: the old rows lie in small files, the newer ones in larger files written later."""
+    rows = B.table(spark, d, "events").select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("last"), F.col("event_type").isin("view", "signup").alias("old")
+    )
+    out = new_shared_path(spark, "arrivals")
+    for part, filler in ((rows.where("old"), 1), (rows.where(~F.col("old")), 50)):
+        post = F.struct(F.col("id").cast("string").alias("id"), F.concat(F.col("last").cast("string"), F.repeat(F.lit(" "), F.lit(filler))).alias("text"))
+        lines = part.repartition(4, "id").sortWithinPartitions("last").select(post.alias("data"))
+        lines.write.mode("append").option("compression", "gzip").json(out)
+    read = read_envelopes(spark, out, arrival=True).select(F.col("data.id").alias("id"), "data.text", "arrival")
+    return last_row(read).select(F.col("id").cast("bigint").alias("id"), F.trim("text").cast("bigint").alias("last"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type = 'error' THEN 'malformed' WHEN event_type = 'signup' THEN 'no-id' ELSE 'ok' END AS outcome FROM events"""
+)
+def bad_lines(spark, d):
+    """Every line of an archive is an envelope or in the error table, with what it was: some are cut off, some have no id."""
+    kind = F.col("event_type")
+    post = F.struct(F.when(kind != "signup", F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("text"))
+    whole = F.to_json(F.struct(post.alias("data")))
+    line = F.when(kind == "error", F.substring(whole, F.lit(1), F.char_length(whole) - 1)).otherwise(whole)
+    out = new_shared_path(spark, "archive")
+    B.table(spark, d, "events").select(line.alias("value")).write.option("compression", "gzip").text(out)
+    good, bad = split_readable(read_envelopes(spark, out, arrival=True, corrupt=True))
+    number = lambda c: F.regexp_extract(c, '"text":"n([0-9]+)', 1).cast("bigint")
+    return good.select(F.col("data.id").cast("bigint").alias("event_id"), F.lit("ok").alias("outcome")).unionByName(
+        bad.select(number(F.col("record")).alias("event_id"), F.col("reason").alias("outcome"))
+    )
+
+
+@query("SELECT event_type AS place, count(*) AS lines, NULL AS error FROM events GROUP BY 1")
+def file_audit(spark, d):
+    """Lines of every gzip file as the audit counts them; all of these files are whole."""
+    out = new_shared_path(spark, "archive")
+    rows = B.table(spark, d, "events").select("event_type", F.to_json(F.struct("event_id")).alias("value"))
+    rows.repartition(4, "event_id").write.partitionBy("event_type").option("compression", "gzip").text(out)
+    kind = F.regexp_extract("place", "event_type=([^/]+)/", 1)
+    audited = audit_files(spark, out).groupBy(kind.alias("place"))
+    return audited.agg(F.sum("lines").alias("lines"), F.max("error").alias("error"))

@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # bounds what a Python task holds of its input at once
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     # base64() wraps its output at 76 characters unless told otherwise
     "spark.sql.chunkBase64String.enabled": "false",
     # month=2024-01 would be read back as a date

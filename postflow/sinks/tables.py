@@ -133,14 +133,18 @@ class BatchLog:
         return self.read_batch(df.sparkSession, tag)
 
     def read(self, spark: SparkSession, without: str | None = None) -> DataFrame:
-        if not _glob(spark, f"{self.root}/batch=*/_SUCCESS"):
-            return spark.createDataFrame([], self.schema)
-        full = T.StructType([*self.schema.fields, T.StructField("batch", T.StringType())])
-        rows = spark.read.schema(full).parquet(self.root)
+        rows = self.read_tagged(spark)
         if without is not None:
             rows = rows.where(F.col("batch") != without)
         return rows.select(*self.schema.names)
 
+    def read_tagged(self, spark: SparkSession) -> DataFrame:
+        """All rows with the tag of their ``batch``."""
+        full = T.StructType([*self.schema.fields, T.StructField("batch", T.StringType())])
+        if not _glob(spark, f"{self.root}/batch=*/_SUCCESS"):
+            return spark.createDataFrame([], full)
+        return spark.read.schema(full).parquet(self.root)
+
     def replace(self, df: DataFrame, tag: str) -> None:
         """Compaction: ``df`` becomes the whole content. Run it while nothing else writes."""
         spark = df.sparkSession
