@@ -22,6 +22,8 @@ Columns other than ``text`` stay as they are, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from postflow.llm.components import components
 EDIT_LENGTH = 30
 #: Edits between lines of a class. A band of 2 * edits + 1 bits must fit into a long.
 EDITS = 1
+#: Parts of the half that has the edit.
+PARTS = 8
 #: Characters that are compared at once at the ends of candidates.
 PART = 16
 
@@ -62,10 +66,9 @@ def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> C
     return F.xxhash64(length, F.lit(i), F.substring(line, start, size))
 
 
-def keys_of(line: Column, length: Column, edits: int) -> Column:
-    """The keys of a line: those of its own segments, and its probes of shorter lines and shifted segments; null where
-    there is no place for one."""
-    keys = []
+def _places(length: Column, edits: int) -> Iterator[tuple[int, Column, Column, Column, Column]]:
+    """Where a line is indexed and probed: the segment's number, the length of the line it belongs to, its start in this
+    line and its length, and whether there is a place for it."""
     for less in range(edits + 1):
         other = length - less
         for i in range(edits + 1):
@@ -73,8 +76,34 @@ def keys_of(line: Column, length: Column, edits: int) -> Column:
             # what stands in front of the segment has at most i edits, what stands behind it at most edits - i
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 fits = (start + shift >= 1) & (start + shift + size - 1 <= length) & (other >= EDIT_LENGTH)
-                keys.append(F.when(fits, _key(line, other, i, start + shift, size)))
-    return F.array(*keys)
+                yield i, other, start + shift, size, fits
+
+
+def keys_of(line: Column, length: Column, edits: int) -> Column:
+    """The keys of a line: those of its own segments, and its probes of shorter lines and shifted segments; null where
+    there is no place for one."""
+    return F.array(*[F.when(fits, _key(line, other, i, start, size)) for i, other, start, size, fits in _places(length, edits)])
+
+
+def fine_keys_of(line: Column, length: Column) -> Column:
+    """For one edit: with each key of a line the keys ``fine`` that two lines share which differ in one part only.
+
+    One half is equal, so the edit is in the other. That is cut into ``PARTS``; what stands in front of the part with the
+    edit is equal, and so is what stands behind it, counted from the end.
+    """
+    keys = []
+    for i, other, start, size, fits in _places(length, 1):
+        key = _key(line, other, i, start, size)
+        rest = F.substring(line, start + size, length) if i == 0 else F.substring(line, F.lit(1), start - 1)
+        n = other - size
+        cut = lambda j, n=n: F.floor(n * j / F.lit(PARTS)).cast("int")
+        fine = []
+        for j in range(PARTS):
+            behind = n - cut(j + 1)
+            end = F.when(behind > 0, F.substring(rest, F.char_length(rest) - behind + 1, behind)).otherwise("")
+            fine.append(F.xxhash64(key, F.lit(j), F.substring(rest, F.lit(1), cut(j)), end))
+        keys.append(F.when(fits, F.struct(key.alias("key"), F.array(*fine).alias("fine"))))
+    return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
 
 def distance(a: str, b: str, edits: int) -> Column:
@@ -176,22 +205,36 @@ def line_table(docs: DataFrame, edits: int) -> DataFrame:
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs of different lines with a key in common: (h, g, h2, g2), the smaller first."""
+    """Lines that have a key in common with another line: ``key``, ``h``, ``g``."""
     keyed = lines.select(F.explode("keys").alias("key"), "h", "g").where("key IS NOT NULL")
     shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
-    some = written(keyed.join(small(written(shared, "shared-keys")), "key").distinct(), "shared-lines")
+    return written(keyed.join(small(written(shared, "shared-keys")), "key").distinct(), "shared-lines")
+
+
+def paired(some: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Pairs of the lines that :func:`candidates` found: (h, g, h2, g2), the smaller first.
+
+    Many lines can share a half, and few of them are near each other. So with one edit lines meet by their fine keys.
+    """
+    if edits == 1:
+        fine = texts.select("h", "g", F.explode(fine_keys_of(F.col("line"), F.char_length("line"))).alias("k"))
+        fine = some.join(fine.select("h", "g", "k.key", "k.fine"), ["key", "h", "g"]).select(F.explode("fine").alias("key"), "h", "g")
+        fine = written(fine.distinct(), "fine-keys")
+        shared = fine.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+        some = fine.join(shared, "key", "left_semi")
     other = some.select("key", F.col("h").alias("h2"), F.col("g").alias("g2"))
     return some.join(other, "key").where("h < h2").select("h", "g", "h2", "g2").distinct()
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """Classes of different lines with few edits between them: ``h``, ``g``, ``class``."""
-    pairs = written(candidates(lines), "line-pairs")
-    ends = written(pairs.select("h", "g").union(pairs.select("h2", "g2")).distinct(), "line-pair-ends")
+    some = candidates(lines)
+    ends = written(some.select("h", "g").distinct(), "line-pair-ends")
     wanted = small(ends)
     texts = docs.select(F.explode(lines_of(F.col("text"))).alias("raw")).select(trimmed(F.col("raw")).alias("line"))
     texts = texts.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"), "line")
     texts = written(texts.join(wanted, ["h", "g"]).distinct(), "line-texts")
+    pairs = written(paired(some, texts, edits), "line-pairs")
     both = pairs.join(texts.withColumnRenamed("line", "a"), ["h", "g"])
     both = both.join(texts.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("b")), ["h2", "g2"])
     name = lambda h, g: F.concat(F.hex(h), F.lit("-"), F.hex(g))
