@@ -18,6 +18,7 @@ from postflow import schemas
 from postflow.functions.keys import expire_at
 from postflow.functions.text import content_key, normalize_text, tokens
 from postflow.operators import filters
+from postflow.operators.entities import dictionary_entities
 from postflow.operators.skew import heavy_of, lookup_join, small_lookup
 
 LABELS = ("positive", "negative", "neutral", "mixed")
@@ -104,7 +105,8 @@ class LexiconScorer:
 
     positive: Sequence[str]
     negative: Sequence[str]
-    dictionary: Mapping[str, str] | None = None
+    #: Terms and their types: a mapping becomes part of the plan; a table (term, type) of any size is joined.
+    dictionary: Mapping[str, str] | DataFrame | None = None
 
     def score_missing(self, texts: DataFrame) -> DataFrame:
         """Fills ``result`` where it is null and adds ``ok``: whether this run made a full result.
@@ -112,7 +114,9 @@ class LexiconScorer:
         Column by column, because an expression that is used twice would be computed twice.
         """
         miss = F.col("result").isNull()
-        words = tokens(F.col("normalized_text"), dictionary=self.dictionary or ())
+        table = self.dictionary if isinstance(self.dictionary, DataFrame) else None
+        mapping = (self.dictionary if table is None else None) or {}
+        words = tokens(F.col("normalized_text"), dictionary=mapping)
         staged = texts.withColumn("ok", miss & filters.is_supported_language(F.col("language_code")))
         staged = staged.withColumn("_words", F.when(F.col("ok"), words))
         staged = staged.withColumns(
@@ -121,10 +125,16 @@ class LexiconScorer:
                 "_neg": F.size(F.filter("_words", lambda w: w.isin(*self.negative))),
                 "_entities": F.when(
                     F.col("ok"),
-                    pattern_entities(F.col("normalized_text"), F.col("_words"), self.dictionary or {}),
+                    pattern_entities(F.col("normalized_text"), F.col("_words"), mapping),
                 ),
             }
         )
+        if table is not None:
+            named = dictionary_entities(texts.where(miss), table).withColumnRenamed("entities", "_named")
+            staged = staged.join(named, "cache_key", "left").withColumn(
+                "_entities", F.when(F.col("_named").isNull(), F.col("_entities")).otherwise(F.concat("_entities", "_named"))
+            )
+            staged = staged.drop("_named")
         sentiment, scores = sentiment_of(F.col("_pos"), F.col("_neg"))
         full = analysis_struct(F.col("normalized_text"), sentiment, scores, F.col("_entities"))
         result = F.when(F.col("ok"), full).when(miss, analysis_struct(F.col("normalized_text")))

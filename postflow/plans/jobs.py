@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +19,7 @@ from postflow.operators import filters
 from postflow.operators.analysis import LexiconScorer, PandasScorer, analyze
 from postflow.operators.document import to_document, upsert_documents
 from postflow.operators.fanout import distinct_ids, fanout, hydrate
-from postflow.operators.metrics import filtered_rate
+from postflow.operators.metrics import counted, filtered_rate, summary, write_stats
 from postflow.operators.skew import keep_matching, lookup_join
 from postflow.operators.state import (
     attach_analysis,
@@ -36,6 +37,8 @@ from postflow.sources.lists import scan_state_by_year
 from postflow.streaming.operators import dedupe_stream, run_batches
 from postflow.streaming.post_state import EXPIRED, keyed_events, state_changes
 
+log = logging.getLogger(__name__)
+
 _TEXT = T.StringType()
 _STATE_FIELDS = [*schemas.STATE.fields, T.StructField("bucket", _TEXT)]
 _CHANGE_FIELDS = [*_STATE_FIELDS, T.StructField("event_name", _TEXT)]
@@ -49,6 +52,7 @@ _SCORED = T.StructType(
 )
 
 
+COUNTERS = T.StructType([T.StructField("step", _TEXT), T.StructField("counter", _TEXT), T.StructField("value", T.LongType())])
 UNREADABLE = T.StructType(
     [
         T.StructField("place", _TEXT),
@@ -108,6 +112,11 @@ class Warehouse:
         """What the stream itself reported as errors."""
         return BatchLog(f"{self.root}/stream-errors", T.StructType([T.StructField("id", _TEXT), *schemas.ERRORS.elementType.fields]))
 
+    @property
+    def counters(self) -> BatchLog:
+        """Counters of every batch, by the step that counted."""
+        return BatchLog(f"{self.root}/counters", COUNTERS)
+
     @property
     def scored(self) -> BatchLog:
         return BatchLog(f"{self.root}/scored", _SCORED)
@@ -236,19 +245,34 @@ def analysed_changes(touched: DataFrame, tag: str, config: IngestConfig) -> Data
             "normalized_text": F.when(fresh, F.col("analysis.normalized_text")).otherwise(F.col("normalized_text")),
         }
     )
-    return house.changes.save(images, tag)
+    kind = F.col("event_name")
+    counted_images, seen = counted(
+        images, f"changes-{tag}", inserted=kind == "INSERT", modified=kind == "MODIFY", fresh=F.col("fresh"), analysed=F.col("fresh") & F.col("comprehend.sentiment").isNotNull()
+    )
+    changes = house.changes.save(counted_images, tag)
+    _write_counters(house, spark, tag, "changes", seen)
+    return changes
+
+
+def _write_counters(house: Warehouse, spark: SparkSession, tag: str, step: str, seen: Observation) -> None:
+    """What a step counted while it wrote, as a few rows of the counter log; written again if the batch is repeated."""
+    rows = [(step, name, int(value)) for name, value in sorted(seen.get.items())]
+    log.info("%s %s: %s", tag, step, summary(seen.get))
+    house.counters.write(spark.createDataFrame(rows, COUNTERS).coalesce(1), f"{tag}.{step}")
 
 
 def index_changes(changes: DataFrame, house: Warehouse, tag: str) -> None:
     """Change records to documents to the months they belong to; records without a month go to the log of dropped ones."""
     spark = changes.sparkSession
-    changes = filters.change_filter(changes)
+    changes, seen = counted(filters.change_filter(changes), f"documents-{tag}", **write_stats(changes, month_key(to_time(F.col("created_at"))).isNull()))
     undated = changes.where(month_key(to_time(F.col("created_at"))).isNull())
     house.dropped.write(undated.withColumn("reason", F.lit("created_at")), tag)
     docs = to_document(changes).withColumn("version", F.lit(1).cast("bigint"))
     docs = docs.where(F.col("month").isNotNull())
     stored = house.gold.touched(house.gold.read(spark, before=tag), docs)
     house.gold.write(upsert_documents(stored, docs), tag)
+    # counted by the first of these writes, which reads all changes
+    _write_counters(house, spark, tag, "documents", seen)
 
 
 def ingest(

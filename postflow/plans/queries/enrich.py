@@ -10,6 +10,7 @@ from postflow.functions.flatten import clean_entities as clean
 from postflow.functions.keys import decode_result, encode_result
 from postflow.functions.text import content_key as key_of
 from postflow.functions.text import normalize_text as normalize
+from postflow.functions.text import tokens
 from postflow.operators.analysis import (
     LexiconScorer,
     analyze,
@@ -24,7 +25,7 @@ from postflow.operators.filters import route_language
 from postflow.operators.state import attach_analysis as attach
 from postflow.plans import bindings as B
 from postflow.plans.jobs import backfill
-from postflow.plans.queries.registry import POST, lexicon, norm, query, words
+from postflow.plans.queries.registry import POST, TOKENS, lexicon, norm, query, words
 
 NOW = "2024-06-01 00:00:00"
 SCORER = LexiconScorer(B.POSITIVE, B.NEGATIVE, B.TERMS)
@@ -207,6 +208,40 @@ def document_entities(spark, d):
     return analysed.select("doc_id", F.array_join(F.array_sort(clean(F.col("analysis.entities"))), "|").alias("entities"))
 
 
+_BENCH = f"b AS (SELECT item_id, list_filter({TOKENS.format(norm('text'))}, lambda w: w <> '') AS ws FROM benchmark)"
+
+
+@query(
+    f"""WITH {DOCS}, {_BENCH},
+terms AS (SELECT DISTINCT phrase FROM (SELECT unnest(ws) AS phrase FROM b
+  UNION ALL SELECT ws[i] || ' ' || ws[i + 1] FROM b, unnest(range(1, len(ws))) AS u(i)) x),
+t AS (SELECT doc_id, list_filter({TOKENS.format('norm')}, lambda w: w <> '') AS ws FROM docs),
+runs AS (SELECT DISTINCT doc_id, unnest(ws) AS phrase FROM t
+  UNION SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM t, unnest(range(1, len(ws))) AS u(i)),
+hits AS (SELECT doc_id, phrase FROM runs JOIN terms USING (phrase))
+SELECT docs.doc_id, count(phrase) AS n_terms, count(phrase) FILTER (WHERE contains(phrase, ' ')) AS n_pairs,
+  coalesce(min(phrase), '') AS first_term FROM docs LEFT JOIN hits ON hits.doc_id = docs.doc_id GROUP BY 1"""
+)
+def entities_of_table(spark, d):
+    """Entities of a dictionary table: all words and pairs of neighbouring words of the benchmark items."""
+    words = tokens(normalize(F.col("text")))
+    items = B.table(spark, d, "benchmark").select(words.alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    single = items.select(F.explode("w").alias("term"), F.lit("WORD").alias("type"))
+    dictionary = single.unionByName(items.select(F.explode(pairs).alias("term"), F.lit("PAIR").alias("type"))).distinct()
+    scorer = LexiconScorer(B.POSITIVE, B.NEGATIVE, dictionary)
+    analysed = analyze(_documents(spark, d), None, scorer, _now())[0]
+    terms = F.filter("analysis.entities", lambda e: e["type"].isin("WORD", "PAIR"))
+    texts = F.transform(terms, lambda e: e["text"])
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    return analysed.select(
+        "doc_id",
+        F.greatest(n(terms), F.lit(0)).alias("n_terms"),
+        F.greatest(n(F.filter(terms, lambda e: e["type"] == "PAIR")), F.lit(0)).alias("n_pairs"),
+        F.coalesce(F.array_min(texts), F.lit("")).alias("first_term"),
+    )
+
+
 @query(
     f"""{POST}, e AS (
   SELECT event_id, upper(event_type) AS text, [NULL, 'PERSON', 'QUANTITY', 'DATE'][k % 4 + 1] AS type,

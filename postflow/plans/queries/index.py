@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postflow.operators import query as Q
-from postflow.operators import search
+from postflow.operators import search, sketches
 from postflow.operators.analysis import analyze
 from postflow.operators.document import to_document
 from postflow.operators.filters import change_filter
@@ -261,3 +261,29 @@ def token_freq_of_titles(spark, d):
 @query(f"WITH t AS (SELECT DISTINCT conv_id, turn, t AS key FROM conversations, unnest({TOKENS.format('text')}) AS u(t) WHERE t <> '') SELECT key, count(*) AS doc_count FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
 def token_freq_of_threads(spark, d):
     return search.token_freq(B.thread_posts(spark, d), "text", 25)
+
+
+@query(
+    """WITH e AS (SELECT event_type AS key, user_id, CAST(floor(value) AS BIGINT) AS v FROM events WHERE ts IS NOT NULL)
+SELECT key, count(*) AS n, true AS distinct_close, true AS p50_close, true AS p95_close FROM e GROUP BY 1"""
+)
+def daily_sketches(spark, d):
+    """Sketches per day, event type and user group, written and united by event type, against the exact numbers.
+
+    A quantile is close if the rows below it and up to it enclose its rank within the stated error."""
+    rows = B.table(spark, d, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), (F.col("user_id") % 7).alias("user_group"), "user_id", F.floor("value").alias("v")
+    )
+    path = new_shared_path(spark, "sketches")
+    sketches.daily(rows, "ts", F.col("user_id"), F.col("v"), ["key", "user_group"]).write.parquet(path)
+    found = sketches.estimated(sketches.united(spark.read.parquet(path), ["key"]), (0.5, 0.95))
+    with_estimates = rows.join(found, "key")
+    error = 2 * sketches.KLL_ERROR
+
+    def enclosed(name, share):
+        below, upto = F.count_if(F.col("v") < F.col(name)), F.count_if(F.col("v") <= F.col(name))
+        return ((below <= (share + error) * F.count("*")) & (upto >= (share - error) * F.count("*"))).alias(f"{name}_close")
+
+    exact = F.count_distinct("user_id")
+    close = F.abs(F.first("distinct_count") - exact) <= sketches.HLL_ERROR * exact
+    return with_estimates.groupBy("key").agg(F.first("n").alias("n"), close.alias("distinct_close"), enclosed("p50", 0.5), enclosed("p95", 0.95))

@@ -308,3 +308,20 @@ def file_audit(spark, d):
     kind = F.regexp_extract("place", "event_type=([^/]+)/", 1)
     audited = audit_files(spark, out).groupBy(kind.alias("place"))
     return audited.agg(F.sum("lines").alias("lines"), F.max("error").alias("error"))
+
+
+@query(
+    """WITH t AS (SELECT turn % 3 = 0 AS undated FROM conversations)
+SELECT 'changes' AS step, 'inserted' AS counter, count(*) AS value FROM t UNION ALL SELECT 'changes', 'fresh', count(*) FROM t
+UNION ALL SELECT 'documents', 'total', count(*) FROM t UNION ALL SELECT 'documents', 'failed', count(*) FILTER (WHERE undated) FROM t
+UNION ALL SELECT 'documents', 'successful', count(*) FILTER (WHERE NOT undated) FROM t"""
+)
+def ingest_run_counters(spark, d):
+    """What the batches of an ingest run counted while they wrote: changes, and documents written and failed."""
+    turn = F.substring_index("id", "-", -1).cast("int")
+    posts = B.thread_posts(spark, d).withColumn("created_at", F.when(turn % 3 == 0, "not a time").otherwise(F.col("created_at")))
+    house = Warehouse(new_shared_path(spark, "warehouse"), buckets=16)
+    envelopes = read_envelopes(spark, _thread_envelopes(spark, d, posts), streaming=True)
+    _finish(ingest(envelopes, IngestConfig(house, SCORER), new_shared_path(spark, "checkpoint")))
+    counters = house.counters.read(spark).groupBy("step", "counter").agg(F.sum("value").alias("value"))
+    return counters.where(F.col("counter").isin("inserted", "fresh", "total", "failed", "successful"))
