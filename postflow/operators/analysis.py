@@ -6,7 +6,11 @@ A text is scored once however many posts carry it, and texts whose result is cac
 
 from __future__ import annotations
 
+import random
+import time
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -148,7 +152,12 @@ class PandasScorer:
 
     ``sentiment(texts, langs)`` returns a frame with columns sentiment, positive, negative, neutral, mixed;
     ``entities(texts, langs)`` a series of lists of ``{text, type, score}``; ``translate(texts)`` a series of
-    English texts (null or an exception: not translated). ``partitions`` bounds how many run at once.
+    English texts (null or an exception: not translated).
+
+    A task has at most ``in_flight`` batches with the models at once, and holds no more; ``partitions`` bounds the tasks,
+    so the two bound all calls. A call that fails is tried again after a pause that doubles from ``pause`` to
+    ``longest_pause`` seconds, each shortened by a share that depends on the batch and the attempt, so that batches that
+    failed together do not come back together and a repeated task waits alike.
     """
 
     sentiment: Callable[[pd.Series, pd.Series], pd.DataFrame]
@@ -158,9 +167,13 @@ class PandasScorer:
     partitions: int | None = None
     detect_retries: int = K.DETECT_RETRIES
     translate_retries: int = K.TRANSLATE_RETRIES
+    in_flight: int = 10
+    pause: float = 0.5
+    longest_pause: float = 30.0
 
     def score(self, misses: DataFrame) -> DataFrame:
-        """``(cache_key, normalized_text, language_code, posts)`` to ``(cache_key, result, ok, posts)``."""
+        """``(cache_key, normalized_text, language_code, posts)`` to ``(cache_key, result, ok, posts, attempts)``: how many
+        calls of models the row's batch took."""
         rows = misses.select("cache_key", "normalized_text", "language_code", "posts")
         if self.partitions:
             rows = rows.repartition(self.partitions, "cache_key")
@@ -169,25 +182,37 @@ class PandasScorer:
         result = analysis_struct(F.col("normalized_text"), F.col("sentiment"), scores, F.col("entities"))
         only_text = analysis_struct(F.col("normalized_text"))
         scored = F.when(F.col("ok"), result).otherwise(only_text).alias("result")
-        return flat.select("cache_key", scored, "ok", "posts")
+        return flat.select("cache_key", scored, "ok", "posts", "attempts")
 
     _FLAT = (
         "cache_key STRING, normalized_text STRING, sentiment STRING, positive DOUBLE, negative DOUBLE, "
-        "neutral DOUBLE, mixed DOUBLE, entities ARRAY<STRUCT<text: STRING, type: STRING, score: DOUBLE>>, ok BOOLEAN, posts BIGINT"
+        "neutral DOUBLE, mixed DOUBLE, entities ARRAY<STRUCT<text: STRING, type: STRING, score: DOUBLE>>, ok BOOLEAN, posts BIGINT, attempts BIGINT"
     )
 
     def _run(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), self.batch_size):
-                yield self._score_batch(batch.iloc[start : start + self.batch_size].reset_index(drop=True))
+        parts = (batch.iloc[i : i + self.batch_size].reset_index(drop=True) for batch in batches for i in range(0, len(batch), self.batch_size))
+        with ThreadPoolExecutor(self.in_flight) as pool:
+            running: deque[Future] = deque()
+            try:
+                for part in parts:
+                    if len(running) == self.in_flight:
+                        yield running.popleft().result()
+                    running.append(pool.submit(self._score_batch, part))
+                while running:
+                    yield running.popleft().result()
+            finally:
+                # after a failure nothing more is started
+                for waiting in running:
+                    waiting.cancel()
 
     def _score_batch(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        calls = _Calls(self.pause, self.longest_pause, str(pdf["cache_key"].iloc[0]))
         text, lang = pdf["normalized_text"].copy(), pdf["language_code"].copy()
         foreign = ~lang.isin(K.SUPPORTED_LANGUAGES)
         ok = ~foreign
         if foreign.any() and self.translate is not None:
             try:
-                english = _retry(self.translate, self.translate_retries, text[foreign].reset_index(drop=True))
+                english = calls.retried(self.translate, self.translate_retries, text[foreign].reset_index(drop=True))
             except Exception:  # the batch is kept, without analysis
                 english = pd.Series([None] * int(foreign.sum()), dtype=object)
             english.index = text.index[foreign]
@@ -202,23 +227,37 @@ class PandasScorer:
         good = ok[ok].index
         if len(good):
             texts, langs = text[good].reset_index(drop=True), lang[good].reset_index(drop=True)
-            found = _retry(self.entities, self.detect_retries, texts, langs)
-            mood = _retry(self.sentiment, self.detect_retries, texts, langs)
+            found = calls.retried(self.entities, self.detect_retries, texts, langs)
+            mood = calls.retried(self.sentiment, self.detect_retries, texts, langs)
             for name in ("sentiment", *LABELS):
                 out.loc[good, name] = mood[name].to_numpy()
             out.loc[good, "entities"] = pd.Series(list(found), index=good, dtype=object)
         out["ok"] = ok
         out["posts"] = pdf["posts"]
+        out["attempts"] = calls.made
         return out
 
 
-def _retry(call: Callable, retries: int, *args):
-    for left in range(retries, -1, -1):
-        try:
-            return call(*args)
-        except Exception:
-            if left == 0:
-                raise
+class _Calls:
+    """Calls of models for one batch, with their number."""
+
+    def __init__(self, pause: float, longest: float, seed: str) -> None:
+        self.pause, self.longest, self.seed, self.made = pause, longest, seed, 0
+
+    def retried(self, call: Callable, retries: int, *args):
+        for attempt in range(retries + 1):
+            self.made += 1
+            try:
+                return call(*args)
+            except Exception:
+                if attempt == retries:
+                    raise
+                time.sleep(self.wait(attempt))
+
+    def wait(self, attempt: int) -> float:
+        """Half of the doubled pause and a share of the other half."""
+        whole = min(self.longest, self.pause * 2**attempt)
+        return whole * (0.5 + 0.5 * random.Random(f"{self.seed}:{self.made}").random())
 
 
 # --- cache -----------------------------------------------------------------------------------------
