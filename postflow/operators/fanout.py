@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from postflow import constants as K
 from postflow.operators import filters
-from postflow.operators.skew import lookup_join, small_lookup
+from postflow.operators.skew import BROADCAST_ROWS, has_at_most, keep_matching, lookup_join, small_lookup
 
 
 def author_of(users: Column, author_id: Column) -> Column:
@@ -124,11 +124,14 @@ def hydrate(
 ) -> DataFrame:
     """Full envelopes, marked ``backup``, of the distinct ``ids`` found in ``posts``.
 
-    Posts from denied sources or about denied domains get no envelope of their own, but may be included.
+    Posts from denied sources or about denied domains get no envelope of their own, but may be included. Few ids (they
+    are counted), and few references, go to where the posts are read; only posts with them are moved then.
     """
-    found = posts.join(ids.select("id").distinct(), "id", "left_semi")
+    found = keep_matching(posts, ids.select("id").distinct(), "id")
     kept = filters.deny_domain(filters.deny_source(found, labels), domains)
-    return assemble_includes(kept, posts, users).withColumn("backup", F.lit(True))
+    referenced = kept.select(F.explode("referenced_tweets.id").alias("id")).distinct()
+    pool = posts.join(F.broadcast(referenced), "id", "left_semi") if has_at_most(referenced, BROADCAST_ROWS) else posts
+    return assemble_includes(kept, pool, users).withColumn("backup", F.lit(True))
 
 
 def deny_join(df: DataFrame, deny: DataFrame, annotations: str = "context_annotations") -> DataFrame:

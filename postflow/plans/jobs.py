@@ -30,7 +30,7 @@ from postflow.operators.state import (
     update_applies,
 )
 from postflow.sinks.archive import write_bronze
-from postflow.sinks.publish import republish
+from postflow.sinks.publish import republish, start_republish
 from postflow.sinks.tables import STATE_BUCKETS, BatchLog, KeyedTable, id_bucket
 from postflow.sources.envelopes import CORRUPT, read_archive, read_legacy_ids, split_readable, stamp_arrival, stream_errors, to_bus_events, unreadable
 from postflow.sources.lists import scan_state_by_year
@@ -383,6 +383,58 @@ def reingest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return republish(read_archive(spark, path))
 
 
+def reingest_files(
+    spark: SparkSession,
+    path: str,
+    out: str,
+    checkpoint: str,
+    bytes_per_trigger: int = 1 << 30,
+    interval: str | None = None,
+    clean_source: str | None = None,
+    archive_dir: str | None = None,
+) -> StreamingQuery:
+    """Re-ingest as a job with admission control: archived envelopes to files of ``(key, value)`` records.
+
+    At most ``bytes_per_trigger`` of input (one file at least) is taken in a micro-batch, and with ``interval`` one
+    micro-batch in that time; without it the job works off what is there and stops. Each file is taken once, whatever
+    stops the job in between, and with ``clean_source`` it is deleted or moved to ``archive_dir`` after that.
+    """
+    envelopes = read_archive(
+        spark, path, streaming=True, max_bytes_per_trigger=bytes_per_trigger, clean_source=clean_source, archive_dir=archive_dir
+    )
+    return start_republish(envelopes, out, checkpoint, interval or "1 second", available_now=interval is None)
+
+
+def reingest_legacy_stream(
+    spark: SparkSession,
+    path: str,
+    posts: DataFrame,
+    house: Warehouse,
+    out: str,
+    checkpoint: str,
+    name: str = "legacy",
+    bytes_per_trigger: int = 256 << 20,
+    interval: str | None = None,
+    clean_source: str | None = None,
+    **options,
+) -> StreamingQuery:
+    """Files of posts in the old format, taken batch by batch: their full posts as ``(key, value)`` records, and how many
+    of them were found and dropped by the deny lists to the counter log. A repeated batch writes the same files again."""
+    reader = spark.readStream.schema("id_str STRING").option("ignoreCorruptFiles", "true").option("maxBytesPerTrigger", bytes_per_trigger)
+    if clean_source:
+        reader = reader.option("cleanSource", clean_source)
+    ids = reader.json(path).where(F.col("id_str").isNotNull())
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        tag = f"{name}.{epoch}"
+        wanted = distinct_ids(batch)
+        records, seen = counted(republish(hydrate(wanted, posts, **options)), f"legacy-{tag}")
+        records.write.mode("overwrite").json(f"{out}/batch={tag}")
+        _write_counters(house, spark, tag, "legacy", seen)
+
+    return run_batches(ids, take, checkpoint, interval)
+
+
 def reingest_legacy(
     ids: DataFrame,
     posts: DataFrame,

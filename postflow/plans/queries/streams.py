@@ -9,7 +9,7 @@ from postflow import schemas
 from postflow.operators.fanout import assemble_includes
 from postflow.operators.state import last_row
 from postflow.plans import bindings as B
-from postflow.plans.jobs import IngestConfig, Warehouse, compact_state, ingest, ingest_keyed, reindex_archive, reingest
+from postflow.plans.jobs import IngestConfig, Warehouse, compact_state, ingest, ingest_keyed, reindex_archive, reingest, reingest_files, reingest_legacy_stream
 from postflow.plans.queries.enrich import SCORER
 from postflow.plans.queries.registry import POST, lexicon, norm, query
 from postflow.session import new_shared_path
@@ -325,3 +325,29 @@ def ingest_run_counters(spark, d):
     _finish(ingest(envelopes, IngestConfig(house, SCORER), new_shared_path(spark, "checkpoint")))
     counters = house.counters.read(spark).groupBy("step", "counter").agg(F.sum("value").alias("value"))
     return counters.where(F.col("counter").isin("inserted", "fresh", "total", "failed", "successful"))
+
+
+@query("SELECT conv_id || '-' || turn AS key, CAST(conv_id AS VARCHAR) AS conv, true AS once FROM conversations")
+def reingest_in_steps(spark, d):
+    """Archived envelopes re-published in micro-batches of bounded bytes; the job is run twice and takes every file once."""
+    path, out, checkpoint = _thread_envelopes(spark, d), new_shared_path(spark, "republished"), new_shared_path(spark, "checkpoint")
+    for _ in range(2):
+        _finish(reingest_files(spark, path, out, checkpoint, bytes_per_trigger=64 << 10))
+    records = spark.read.schema("key STRING, value STRING").json(out)
+    conv = F.from_json("value", schemas.ENVELOPE)["data"]["conversation_id"]
+    return records.groupBy("key").agg(F.max(conv).alias("conv"), (F.count("*") == 1).alias("once"))
+
+
+@query("SELECT conv_id || '-' || turn AS key, CASE WHEN turn > 0 THEN conv_id || '-' || (turn - 1) END AS answered FROM conversations")
+def reingest_legacy_in_steps(spark, d):
+    """Ids of posts in the old format, each delivered twice, to full envelopes with the posts they refer to."""
+    posts = B.thread_posts(spark, d)
+    path = new_shared_path(spark, "legacy")
+    ids = posts.select(F.col("id").alias("id_str"))
+    ids.unionByName(ids).repartition(4, "id_str").write.json(path)
+    house, out = Warehouse(new_shared_path(spark, "warehouse"), buckets=16), new_shared_path(spark, "republished")
+    _finish(reingest_legacy_stream(spark, path, posts, house, out, new_shared_path(spark, "checkpoint")))
+    envelope = F.from_json("value", schemas.ENVELOPE)
+    rows = spark.read.schema("key STRING, value STRING").json(out).select("key", envelope["includes"]["tweets"]["id"].alias("ids"), envelope["data"]["referenced_tweets"].alias("refs"))
+    answered = F.get(F.filter("refs", lambda r: r["type"] == "replied_to"), F.lit(0))["id"]
+    return rows.select("key", F.when(F.array_contains("ids", answered), answered).alias("answered"))

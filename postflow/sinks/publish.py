@@ -39,15 +39,14 @@ def republish(envelopes: DataFrame) -> DataFrame:
 def start_republish(
     envelopes: DataFrame, path: str, checkpoint: str, interval: str = "1 second", available_now: bool = False
 ):
-    """Re-publishes a stream as files of at most :data:`~postflow.constants.REPUBLISH_CHUNK` records.
+    """Re-publishes a stream as files, one for each task of a micro-batch.
 
-    The pace is files per trigger (set at the source) times trigger interval.
+    The pace is bytes or files per trigger (set at the source) times trigger interval, and so is the size of the files.
     """
     writer = (
         republish(envelopes)
         .writeStream.format("json")
         .option("checkpointLocation", checkpoint)
-        .option("maxRecordsPerFile", K.REPUBLISH_CHUNK)
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start(path)

@@ -68,7 +68,7 @@ def read_envelopes(
     max_files_per_trigger: int | None = None,
     clean_source: str | None = None,
     archive_dir: str | None = None,
-    max_bytes_per_trigger: str | int | None = None,
+    max_bytes_per_trigger: int | None = None,
     arrival: bool = False,
     corrupt: bool = False,
 ) -> DataFrame:

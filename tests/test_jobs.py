@@ -7,7 +7,7 @@ from helpers import by_id, envelope, envelopes, from_json, ids, metrics, post, p
 from postflow import schemas
 from postflow.operators.analysis import LexiconScorer
 from postflow.operators.filters import drop_stale
-from postflow.plans.jobs import IngestConfig, Warehouse, backfill, ingest, ingest_batch, reindex_archive, reindex_year, reingest, reingest_legacy_files
+from postflow.plans.jobs import IngestConfig, Warehouse, backfill, ingest, ingest_batch, reindex_archive, reindex_year, reingest, reingest_files, reingest_legacy_files, reingest_legacy_stream
 from postflow.sinks.tables import BatchLog, KeyedTable
 from postflow.sources.envelopes import read_archive, read_envelopes, to_bus_events
 from postflow.streaming import operators as O
@@ -203,3 +203,39 @@ def test_drop_stale(spark):
     now = F.lit("2024-01-02 00:00:00").cast("timestamp")
     rows = spark.sql("SELECT * FROM VALUES ('old', timestamp'2023-12-31 23:59:59'), ('edge', timestamp'2024-01-01 00:00:00'), ('new', timestamp'2024-01-02 00:00:00') AS t(id, ts)")
     assert ids(drop_stale(rows, "ts", now=now)) == ["edge", "new"]
+
+
+def test_reingest_files_takes_each_file_once(spark, tmp_path):
+    source, moved, out = tmp_path / "in", tmp_path / "moved", str(tmp_path / "out")
+    source.mkdir()
+
+    def deliver(name, *names):
+        (source / name).write_text("".join(json.dumps(envelope(post(n))) + "\n" for n in names))
+
+    def run():
+        query = reingest_files(spark, str(source), out, str(tmp_path / "cp"), bytes_per_trigger=1, clean_source="archive", archive_dir=str(moved))
+        query.awaitTermination()
+        assert query.exception() is None
+        return len([p for p in query.recentProgress if p["numInputRows"]])
+
+    deliver("a.json", "1", "2")
+    deliver("b.json", "3")
+    deliver("c.json", "4")
+    assert run() == 3  # a file each, however small the bound
+    deliver("d.json", "5")
+    assert run() == 1
+    assert sorted(r["key"] for r in spark.read.schema("key STRING").json(out).collect()) == list("12345")
+    assert {p.name for p in moved.rglob("*.json")} >= {"a.json", "b.json"}  # moved once a later batch has committed
+
+
+def test_reingest_legacy_stream(spark, tmp_path, house):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "v1.json").write_text('{"id_str": "a"}\n{"id_str": "b"}\n{"id_str": "a"}\n{"id_str": "gone"}\nnot json\n')
+    pool = posts(spark, post("a", referenced_tweets=[{"type": "quoted", "id": "c"}]), post("b", source="bot"), post("c"))
+    query = reingest_legacy_stream(spark, str(source), pool, house, out, str(tmp_path / "cp"), labels=["bot"])
+    query.awaitTermination()
+    assert query.exception() is None
+    (record,) = spark.read.schema("key STRING, value STRING").json(out).collect()
+    assert record["key"] == "a" and [t["id"] for t in json.loads(record["value"])["includes"]["tweets"]] == ["c"]
+    assert [tuple(r) for r in house.counters.read(spark).collect()] == [("legacy", "incoming", 1)]
