@@ -142,4 +142,6 @@ def geo_distance(
     a = half * half + F.cos(F.radians(plat)) * F.cos(F.radians(F.lit(lat))) * half_lon * half_lon
     distance = 2 * radius * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
     band = km / 111.0
-    return df.where(plat.between(lat - band, lat + band) & (distance <= km))
+    # the least of nothing and one would be one, and half of a point at the other end of the world
+    known = a.isNotNull() & ~F.isnan(a)
+    return df.where(plat.between(lat - band, lat + band) & known & (distance <= km))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postflow.operators import geo_index, search, sketches
 from postflow.operators import query as Q
-from postflow.operators import search, sketches
 from postflow.operators.analysis import analyze
 from postflow.operators.document import to_document
 from postflow.operators.filters import change_filter
@@ -77,6 +77,27 @@ def geo_distance(spark, d):
     return Q.geo_distance(_docs(spark, d), 135.0, 35.0, 4000).select("id")
 
 
+def _clustered(spark, d):
+    docs, path = _docs(spark, d), new_shared_path(spark, "geo")
+    geo_index.write_clustered(docs, path)
+    return geo_index.read_clustered(spark, path, docs)
+
+
+@query(f"{POST} SELECT id FROM post WHERE event_id % 3 = 0 AND ({_LON} >= 170 OR {_LON} <= -170) AND {_LAT} BETWEEN -50 AND 50")
+def geo_box_clustered(spark, d):
+    """A box across the date line over documents clustered by grid cells."""
+    return geo_index.in_box(_clustered(spark, d), 170, -50, -170, 50).select("id")
+
+
+@query(
+    f"""{POST} SELECT id FROM (SELECT id, radians({_LON}) AS x, radians({_LAT}) AS y FROM post WHERE event_id % 3 = 0)
+WHERE 2 * 6371.0088 * asin(sqrt(least(pow(sin((y - radians(35.0)) / 2), 2)
+  + cos(y) * cos(radians(35.0)) * pow(sin((x - radians(135.0)) / 2), 2), 1.0))) <= 4000"""
+)
+def geo_distance_clustered(spark, d):
+    return geo_index.within_km(_clustered(spark, d), 135.0, 35.0, 4000).select("id")
+
+
 # --- facets and statistics ---------------------------------------------------------------------
 
 
