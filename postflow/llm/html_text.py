@@ -4,7 +4,8 @@ A page is read into a tree as forgivingly as browsers do it: missing end tags, s
 that ends within a tag. Parts that are no article by their kind or by their name (menus, headers, footers, sidebars,
 notices, adverts, forms, reader comments) are left out. A name says nothing if it is negated or about the layout
 ("no-comments", "with-sidebar"), and a wrapper stays whatever its name: an element that has all of the page's articles in
-it or, without an article elsewhere, most of the text that is not in links. Reader comments are no wrapper.
+it or, without an article elsewhere, most of the text that is not in links. Reader comments are no wrapper. A menu, header,
+footer, sidebar or form is one only if little would be left without it: a form around the page, or a menu without its end.
 
 Every block with text of its own is a paragraph. It has a point, one more for each comma and one more for every hundred
 characters, three at most; its parent gets them all, the grandparent half, ancestors beyond that a share that shrinks with
@@ -37,9 +38,13 @@ INLINE = frozenset(
 )
 #: Elements that never hold article text.
 DROPPED = frozenset(
-    "head script style noscript template title nav footer aside form button input select textarea iframe object embed "
+    "head script style noscript template title button input select textarea iframe object embed "
     "svg canvas audio video dialog menu noembed noframes map".split()
 )
+#: Elements that hold none either, if they are no wrapper.
+KINDS = frozenset("nav header footer aside form".split())
+#: What a head can hold; everything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Elements that are menus if most of their text is in links and no container is around them.
 LINK_LISTS = frozenset("ul ol dl div section table".split())
@@ -67,15 +72,22 @@ NAMES = frozenset(
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Words before a name, in one class or id, and behind it, that say it is absent or a property of the layout.
 BEFORE, BEHIND = frozenset("has have with no non not without hide".split()), frozenset(("free", "less"))
+#: Elements deeper than this become siblings, as in browsers.
+MAX_DEPTH = 512
 # End of fixed values.
 
+#: A menu, header, footer, sidebar or form is a wrapper if it has this many times the text that is left without it, and
+#: an article or a paragraph of this many characters.
+WRAPPED, PARAGRAPH = 3, 50
+
+# A quote starts a value only behind "="; elsewhere it is a character like others.
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)"
     r"|<[a-zA-Z/][^>]*+\Z",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?=[\s=/>]|\Z)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]*+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -93,11 +105,9 @@ class Element:
         return self.score * (1 - self.linked / self.length) if self.length else 0.0
 
 
-def _dropped(tag: str, attributes: str, stack: list[Element]) -> bool:
+def _dropped(tag: str, attributes: str) -> bool:
     if tag in DROPPED:
         return True
-    if tag == "header":  # a page's header; an article may have one for its title
-        return not any(e.tag in ARTICLE for e in stack)
     if not attributes or tag in ("html", "body"):
         return False
     for match in _ATTRIBUTE.finditer(attributes):
@@ -111,9 +121,12 @@ def _dropped(tag: str, attributes: str, stack: list[Element]) -> bool:
     return False
 
 
-def _names(tag: str, attributes: str) -> frozenset[str]:
-    """The words in its class and id that say that an element is no article."""
+def _names(tag: str, attributes: str, stack: list[Element]) -> frozenset[str]:
+    """What says that an element is no article: its kind, and words in its class and id."""
     found = set()
+    # an article may have a header for its title
+    if tag in KINDS and not (tag == "header" and any(e.tag in ARTICLE for e in stack)):
+        found.add(tag)
     if attributes and tag not in ARTICLE:
         for match in _ATTRIBUTE.finditer(attributes):
             if match[1].lower() in ("class", "id"):
@@ -133,16 +146,26 @@ def _drop_named(root: Element) -> None:
         order += [c for c in element.children if isinstance(c, Element) and not c.dropped]
     if not any(e.names for e in order):
         return
-    weight, holds = dict.fromkeys(map(id, order), 0), set()
+    weight, plain, holds, prose = dict.fromkeys(map(id, order), 0), dict.fromkeys(map(id, order), 0), set(), set()
     for element in reversed(order):
-        if not links[id(element)]:
-            weight[id(element)] += sum(len(" ".join(c.split())) for c in element.children if isinstance(c, str))
+        key = id(element)
+        if not links[key]:
+            own = sum(len(" ".join(c.split())) for c in element.children if isinstance(c, str))
+            weight[key] += own
+            plain[key] += own
         if element.tag in ARTICLE:
-            holds.add(id(element))
+            holds.add(key)
+        if element.tag == "p" and weight[key] >= PARAGRAPH:
+            prose.add(key)
         if element.parent is not None and not element.names & COMMENTS:
-            weight[id(element.parent)] += weight[id(element)]
-            if id(element) in holds:
-                holds.add(id(element.parent))
+            above = id(element.parent)
+            weight[above] += weight[key]
+            if not element.names:
+                plain[above] += plain[key]
+            holds.update({above} if key in holds else ())
+            prose.update({above} if key in prose else ())
+    # the text that stays if no other named element does
+    left = plain[id(root)]
     article, reached = False, [(root, False)]
     while reached:
         named: list[tuple[Element, bool]] = []
@@ -153,10 +176,16 @@ def _drop_named(root: Element) -> None:
                 if isinstance(child, Element) and not child.dropped:
                     (named if child.names else reached).append((child, inside))
         reached = []
-        for element, inside in named:
-            most = 2 * weight[id(element)] > weight[id(root)] and (inside or not article)
-            if not element.names & COMMENTS and (most or id(element) in holds and not article):
+        for element, inside in sorted(named, key=lambda e: -weight[id(e[0])]):
+            key = id(element)
+            most = 2 * weight[key] > weight[id(root)] and (inside or not article)
+            all_articles = key in holds and not article
+            wraps = most or all_articles
+            if element.tag in KINDS:
+                wraps = wraps and WRAPPED * left < weight[key] and (key in holds or key in prose)
+            if wraps and not element.names & COMMENTS:
                 reached.append((element, inside))
+                left += plain[key]
             else:
                 element.dropped = True
 
@@ -164,18 +193,20 @@ def _drop_named(root: Element) -> None:
 def parse(html: str) -> Element:
     """The tree of a page."""
     root = Element("html", None)
-    stack, at, end = [root], 0, len(html)
+    stack, at, end, headed = [root], 0, len(html), False
 
     def close_to(k: int) -> None:
         del stack[k:]
 
     while at < end:
         match = _TAG.search(html, at)
+        text = html[at : match.start() if match else end]
+        if text:
+            if stack[-1].tag == "head" and not text.isspace():
+                close_to(1)
+            stack[-1].children.append(unescape(text))
         if match is None:
-            stack[-1].children.append(unescape(html[at:]))
             break
-        if match.start() > at:
-            stack[-1].children.append(unescape(html[at : match.start()]))
         at = match.end()
         if match[2] is None:
             continue
@@ -191,8 +222,14 @@ def parse(html: str) -> Element:
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break
             continue
-        if tag in ("html", "body"):
-            continue
+        if tag in ("html", "body", "head"):
+            if len(stack) > 1 and stack[1].tag == "head":
+                close_to(1)
+            if tag != "head" or headed or len(stack) > 1:
+                continue
+            headed = True
+        elif stack[-1].tag == "head" and tag not in IN_HEAD:
+            close_to(1)
         if tag not in INLINE:  # a block ends an open paragraph and what is open in it
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
@@ -207,7 +244,8 @@ def parse(html: str) -> Element:
                     close_to(k)
                 elif stack[k].tag in scope:
                     break
-        element = Element(tag, stack[-1], _dropped(tag, match[3], stack), _names(tag, match[3]))
+        close_to(MAX_DEPTH)
+        element = Element(tag, stack[-1], _dropped(tag, match[3]), _names(tag, match[3], stack))
         stack[-1].children.append(element)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
