@@ -34,7 +34,9 @@ SPREADS = 3
 #: Measures and the least spread each is given: a measure that is constant in a clean source must not reject noise.
 #: Symbols per 1000 words, capitals in runs of three per 1000 characters, repeated lines per
 #: 1000 lines, hundredths of a character per word.
-SPREAD = {"symbol_rate": 60, "caps_rate": 100, "dup_line_rate": 150, "word_length": 150}
+SPREAD = {"symbol_rate": 60, "caps_rate": 100, "dup_line_rate": 150, "word_length": 1}
+#: A spread is also at least the lower quartile divided by this, so that what a language's words are long by counts.
+SHARE = 8
 #: Measures that can also be too small.
 TWO_SIDED = ("word_length",)
 
@@ -144,7 +146,7 @@ def fences(sketches: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.min(F.when(F.col("upto") >= quantile[1], F.col("bucket"))).alias("q3"),
     )
     least = F.element_at(F.create_map(*[x for m, s in SPREAD.items() for x in (F.lit(m), F.lit(s).cast("long"))]), F.col("measure"))
-    spread = SPREADS * F.greatest(F.col("q3") - F.col("q1"), least)
+    spread = SPREADS * F.greatest(F.col("q3") - F.col("q1"), least, F.expr(f"q1 div {SHARE}"))
     ends = quartiles.select(*keys, "measure", "total", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
     return ends.groupBy(*keys).agg(
         F.max("total").alias("n_rows"),

@@ -75,7 +75,7 @@ m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 vals AS (SELECT lang, source, 'symbol_rate' AS measure, 60 AS spread, symbol_rate AS v FROM m WHERE NOT base_failed
   UNION ALL SELECT lang, source, 'caps_rate', 100, caps_rate FROM m WHERE NOT base_failed
   UNION ALL SELECT lang, source, 'dup_line_rate', 150, dup_line_rate FROM m WHERE NOT base_failed
-  UNION ALL SELECT lang, source, 'word_length', 150, word_length FROM m WHERE NOT base_failed),
+  UNION ALL SELECT lang, source, 'word_length', 1, word_length FROM m WHERE NOT base_failed),
 buckets AS (SELECT lang, source, measure, spread, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b FROM vals),
 own AS (SELECT lang, source, measure, count(*) AS n, any_value(spread) AS spread, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM buckets GROUP BY ALL),
 bylang AS (SELECT lang, measure, count(*) AS n, any_value(spread) AS spread, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM buckets GROUP BY ALL),
@@ -85,11 +85,11 @@ chosen AS (SELECT o.lang, o.source, o.measure, o.spread,
     CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE g.q3 END AS q3
   FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole g ON o.measure = g.measure),
 limits AS (SELECT lang, source,
-    max(CASE measure WHEN 'symbol_rate' THEN q3 + 3 * greatest(q3 - q1, spread) END) AS symbol_high,
-    max(CASE measure WHEN 'caps_rate' THEN q3 + 3 * greatest(q3 - q1, spread) END) AS caps_high,
-    max(CASE measure WHEN 'dup_line_rate' THEN q3 + 3 * greatest(q3 - q1, spread) END) AS dup_high,
-    max(CASE measure WHEN 'word_length' THEN q3 + 3 * greatest(q3 - q1, spread) END) AS length_high,
-    max(CASE measure WHEN 'word_length' THEN q1 - 3 * greatest(q3 - q1, spread) END) AS length_low
+    max(CASE measure WHEN 'symbol_rate' THEN q3 + 3 * greatest(q3 - q1, spread, q1 // 8) END) AS symbol_high,
+    max(CASE measure WHEN 'caps_rate' THEN q3 + 3 * greatest(q3 - q1, spread, q1 // 8) END) AS caps_high,
+    max(CASE measure WHEN 'dup_line_rate' THEN q3 + 3 * greatest(q3 - q1, spread, q1 // 8) END) AS dup_high,
+    max(CASE measure WHEN 'word_length' THEN q3 + 3 * greatest(q3 - q1, spread, q1 // 8) END) AS length_high,
+    max(CASE measure WHEN 'word_length' THEN q1 - 3 * greatest(q3 - q1, spread, q1 // 8) END) AS length_low
   FROM chosen GROUP BY lang, source),
 verdict AS (SELECT m.*, coalesce(NOT base_failed AND symbol_rate <= symbol_high AND caps_rate <= caps_high AND dup_line_rate <= dup_high
     AND word_length <= length_high AND word_length >= length_low, false) AS kept
