@@ -176,21 +176,24 @@ def _array(blobs, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(b) for b in blobs), dtype=kind)
 
 
+def _groups(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of each key, ascending, in the order of the keys; one sort, however many keys there are."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    return iter(np.split(order, np.flatnonzero(keys[1:] != keys[:-1]) + 1) if len(keys) else ())
+
+
 def _send_anchors(buckets: int):
     def send(docs: pd.DataFrame) -> pd.DataFrame:
         hashes = np.unique(anchor_hashes(read_cell(docs))[1])
         bucket = hashes % np.uint64(buckets)
-        rows = [(int(b), int(docs["cell"].iloc[0]), _blob(hashes[bucket == b], "<u8")) for b in np.unique(bucket)]
+        number = int(docs["cell"].iloc[0])
+        rows = [(int(bucket[k[0]]), number, _blob(hashes[k], "<u8")) for k in _groups(bucket)]
         return pd.DataFrame(rows, columns=["bucket", "cell", "hashes"])
 
     return send
 
 
-def _shared(cells: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    for cell in np.unique(cells):
-        yield int(cell), hashes[cells == cell]
-
-
 def _share_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     """Hashes that more than one cell has sent, back to each of these cells."""
     hashes = _array(rows["hashes"], "<u8")
@@ -200,7 +203,8 @@ def _share_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     same = np.zeros(len(hashes) + 1, dtype=bool)
     same[1:-1] = hashes[1:] == hashes[:-1]
     twice = same[1:] | same[:-1]
-    found = [(cell, _blob(h, "<u8")) for cell, h in _shared(cells[twice], hashes[twice])]
+    cells, hashes = cells[twice], hashes[twice]
+    found = [(int(cells[k[0]]), _blob(hashes[k], "<u8")) for k in _groups(cells)]
     return pd.DataFrame(found, columns=["cell", "hashes"])
 
 
@@ -219,11 +223,10 @@ def _send_windows(buckets: int):
         bucket = one % np.uint64(buckets)
         number = int(docs["cell"].iloc[0])
         rows = []
-        for b in np.unique(bucket):
-            here = bucket == b
+        for here in _groups(bucket):
             used, index = np.unique(doc[here], return_inverse=True)
             arrays = ((one[here], "<u8"), (two[here], "<u8"), (index, "<u4"), (start[here], "<u4"), (cell.ids[used], "<i8"), (cell.keys[used], "<i8"))
-            rows.append((int(b), number, *(_blob(*a) for a in arrays)))
+            rows.append((int(bucket[here[0]]), number, *(_blob(*a) for a in arrays)))
         return pd.DataFrame(rows, columns=names)
 
     return send
@@ -242,7 +245,8 @@ def _find_later(rows: pd.DataFrame) -> pd.DataFrame:
     one, two, cells = one[order], two[order], cells[order]
     later = np.zeros(len(one), dtype=bool)
     later[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-    found = [(int(c), _blob(one[later & (cells == c)], "<u8"), _blob(two[later & (cells == c)], "<u8")) for c in np.unique(cells[later])]
+    one, two, cells = one[later], two[later], cells[later]
+    found = [(int(cells[k[0]]), _blob(one[k], "<u8"), _blob(two[k], "<u8")) for k in _groups(cells)]
     return pd.DataFrame(found, columns=["cell", "one", "two"])
 
 
