@@ -30,6 +30,7 @@ from postflow.operators.state import (
     update_applies,
 )
 from postflow.sinks.archive import write_bronze
+from postflow.sinks.listing import LISTING, in_listed_buckets, is_complete, listing_rows, rebuild
 from postflow.sinks.publish import republish, start_republish
 from postflow.sinks.tables import STATE_BUCKETS, BatchLog, KeyedTable, id_bucket
 from postflow.sources.envelopes import CORRUPT, read_archive, read_legacy_ids, split_readable, stamp_arrival, stream_errors, to_bus_events, unreadable
@@ -81,7 +82,12 @@ class Warehouse:
 
     @property
     def state(self) -> KeyedTable:
-        return KeyedTable(f"{self.root}/state", T.StructType(_STATE_FIELDS), "bucket")
+        return KeyedTable(f"{self.root}/state", T.StructType(_STATE_FIELDS), "bucket", ("created_at", "id"))
+
+    @property
+    def times(self) -> BatchLog:
+        """When the posts of the state table were created, and in which bucket they are."""
+        return BatchLog(f"{self.root}/times", LISTING)
 
     @property
     def gold(self) -> KeyedTable:
@@ -212,6 +218,8 @@ def ingest_batch(events: DataFrame, tag: str, config: IngestConfig) -> None:
     changes = analysed_changes(touched, tag, config)
     kept = house.state.touched(before, changes).join(changes.select("id"), "id", "left_anti")
     house.state.write(kept.unionByName(changes.drop("event_name")), tag)
+    # updates of a stored post leave its time as it is
+    house.times.write(listing_rows(touched.where(F.col("fresh") | (F.col("event_name") == "INSERT"))), tag)
     index_changes(changes, house, tag)
 
 
@@ -352,14 +360,22 @@ def compact_state(spark: SparkSession, house: Warehouse, name: str, tag: str) ->
     )
     kept = last.where(F.col("r.event_name") != EXPIRED).select("id", "r.*", "a.*").select(*house.state.schema.names)
     house.state.write(kept, tag)
+    rebuild(spark, house.times, house.state)
 
 
 # --- history -----------------------------------------------------------------------------------
 
 
 def reindex_year(house: Warehouse, spark: SparkSession, year: str, tag: str) -> None:
-    """State of one year to documents: one parallel job in place of a paging loop."""
-    rows = scan_state_by_year(house.state.read(spark), year)
+    """State of one year to documents: one parallel job in place of a paging loop.
+
+    Only buckets that the time listing names are read; a state table whose listing lacks a batch is read as a whole.
+    """
+    rows = house.state.read(spark)
+    if is_complete(spark, house.times, house.state):
+        rows = in_listed_buckets(rows, house.times.read(spark), f"{year}-", f"{int(year) + 1:04d}-")
+    else:
+        rows = scan_state_by_year(rows, year)
     index_changes(rows.withColumn("event_name", F.lit("MODIFY")), house, tag)
 
 

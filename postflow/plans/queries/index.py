@@ -8,12 +8,13 @@ from postflow.operators import geo_index, search, sketches
 from postflow.operators import query as Q
 from postflow.operators.analysis import analyze
 from postflow.operators.document import to_document
-from postflow.operators.filters import change_filter
 from postflow.plans import bindings as B
+from postflow.plans import jobs
 from postflow.plans.queries.enrich import SCORER
 from postflow.plans.queries.registry import POST, TOKENS, lexicon, norm, query, words
 from postflow.session import new_shared_path
-from postflow.sources.lists import scan_state_by_year
+from postflow.sinks import listing
+from postflow.sinks.tables import id_bucket
 
 
 def _docs(spark, d):
@@ -189,9 +190,36 @@ def sentiment_over_time(spark, d):
 
 @query(f"{POST} SELECT id, strftime(t, '%Y-%m') AS month FROM post WHERE year(t) = 2024 AND text IS NOT NULL")
 def reindex_year(spark, d):
-    """State rows of one year as changes, filtered and flattened."""
-    rows = scan_state_by_year(B.state(spark, d), "2024").withColumn("event_name", F.lit("MODIFY"))
-    return to_document(change_filter(rows)).select("id", "month")
+    """The job over a written state table and its time listing: documents of one year."""
+    house = _state_house(spark, d)
+    jobs.reindex_year(house, spark, "2024", "reindex.2024")
+    return house.gold.read(spark).select("id", "month")
+
+
+def _state_house(spark, d):
+    house = jobs.Warehouse(new_shared_path(spark, "warehouse"), buckets=16)
+    state = B.state(spark, d)
+    house.state.write(state.withColumn("bucket", id_bucket(F.col("id"), house.buckets)), "state.0")
+    listing.rebuild(spark, house.times, house.state)
+    return house
+
+
+@query(f"{POST} SELECT id, created_at, text FROM post WHERE t >= TIMESTAMP '2024-01-05' AND t < TIMESTAMP '2024-01-15'")
+def state_range_listed(spark, d):
+    """State rows of some days, of the buckets that the time listing names."""
+    house = _state_house(spark, d)
+    found = listing.in_listed_buckets(house.state.read(spark), house.times.read(spark), "2024-01-05", "2024-01-15")
+    return found.select("id", "created_at", "text")
+
+
+@query(
+    f"""{POST} SELECT id, created_at FROM post WHERE t IS NOT NULL AND (created_at > '2024-01-10' OR (created_at = '2024-01-10' AND id > '0'))
+ORDER BY created_at, id LIMIT 50"""
+)
+def next_page_listed(spark, d):
+    """A page over time from the listing alone."""
+    house = _state_house(spark, d)
+    return listing.listed_page(house.times.read(spark), ("2024-01-10", "0"), 50)
 
 
 # --- text --------------------------------------------------------------------------------------

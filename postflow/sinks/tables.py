@@ -32,23 +32,25 @@ def _glob(spark: SparkSession, pattern: str) -> list[str]:
 
 @dataclass(frozen=True)
 class KeyedTable:
-    """A table at ``root`` with a partition column that is a function of the row's key."""
+    """A table at ``root`` with a partition column that is a function of the row's key; files are sorted by ``order``."""
 
     root: str
     schema: T.StructType
     partition: str
+    order: tuple[str, ...] = ()
 
     def _committed(self, spark: SparkSession) -> dict[str, int]:
         """Directory name to version number."""
         names = [p.split("/")[-2] for p in _glob(spark, f"{self.root}/v=*/_SUCCESS")]
         return {name: int(name[2:].split(".")[0]) for name in names}
 
+    def versions(self, spark: SparkSession) -> dict[str, int]:
+        """The version that each batch was committed as."""
+        return {name.split(".", 1)[1]: version for name, version in self._committed(spark).items()}
+
     def version_of(self, spark: SparkSession, tag: str) -> int | None:
         """Version the batch ``tag`` was committed as, if it was."""
-        for name, version in self._committed(spark).items():
-            if name.split(".", 1)[1] == tag:
-                return version
-        return None
+        return self.versions(spark).get(tag)
 
     def read(self, spark: SparkSession, before: str | None = None) -> DataFrame:
         """Current rows; with ``before`` the rows as they were when the batch of that tag had not been written.
@@ -82,6 +84,8 @@ class KeyedTable:
         number = max(self._committed(spark).values(), default=0) + 1
         target = f"{self.root}/v={number:010d}.{tag}"
         rows = df.select(*self.schema.names).hint("rebalance", self.partition)
+        if self.order:
+            rows = rows.sortWithinPartitions(self.partition, *self.order)
         rows.write.mode("overwrite").partitionBy(self.partition).parquet(target)
 
     def touched(self, stored: DataFrame, changes: DataFrame) -> DataFrame:
@@ -127,6 +131,10 @@ class BatchLog:
     def read_batch(self, spark: SparkSession, tag: str) -> DataFrame:
         return spark.read.schema(self.schema).parquet(f"{self.root}/batch={tag}")
 
+    def tags(self, spark: SparkSession) -> set[str]:
+        """The batches whose directories are complete."""
+        return {path.split("/")[-2].split("=", 1)[1] for path in _glob(spark, f"{self.root}/batch=*/_SUCCESS")}
+
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         """Writes and reads back: what follows does not recompute ``df``."""
         self.write(df, tag)
