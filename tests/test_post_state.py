@@ -135,3 +135,34 @@ def test_order_is_needed(spark, tmp_path):
     (tmp_path / "in").mkdir()
     with pytest.raises(ValueError, match="arrival"):
         ingest_keyed(read_envelopes(spark, str(tmp_path / "in"), streaming=True), None, str(tmp_path / "cp"))
+
+
+class Store:
+    """A value of the state store that counts the messages it takes."""
+
+    def __init__(self):
+        self.value, self.messages = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.messages += 1
+        return self.value
+
+    def update(self, value):
+        self.messages += 1
+        self.value = value
+
+
+def test_posts_of_a_page_take_two_messages_to_the_store():
+    page, store = S.PostState(), Store()
+    page.init(store)
+    rows = lambda kind, version, place: [
+        S.Row(id=f"p{i}", kind=kind, version=version, place=f"{place}", has_text=True, metrics=f"m{version}", row=f"{kind}{version}") for i in range(500)
+    ]
+    first = list(page.handleInputRows((0,), iter(rows(S.PUT, 1, 1)), None))
+    assert store.messages == 2 and {r["event_name"] for r in first} == {"INSERT"} and len(first) == 500
+    second = list(page.handleInputRows((0,), iter(rows(S.UPDATE, 3, 2) + rows(S.UPDATE, 2, 3)), None))
+    assert store.messages == 4 and {(r["event_name"], r["version"], r["metrics"], r["row"], r["fresh"]) for r in second} == {("MODIFY", 3, "m3", "put1", False)}
+    assert list(page.handleInputRows((0,), iter(rows(S.UPDATE, 3, 4)), None)) == [] and store.messages == 5
