@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,8 @@ from postflow.functions.keys import month_key
 
 NOT_FILTERABLE = K.NOT_FILTERABLE
 SENTIMENTS = ("POSITIVE", "NEGATIVE", "NEUTRAL", "MIXED")
+#: Parts of a group, one of which is sorted for a percentile.
+PARTS = 64
 
 
 def _type_of(df: DataFrame, field: str) -> T.DataType:
@@ -79,22 +82,49 @@ def metric_stats(
 ) -> DataFrame:
     """Count, sum, average, minimum, maximum and percentiles of a number.
 
-    Percentiles come from mergeable summaries of at most ``accuracy`` order, so one large group stays small.
+    Percentiles are exact: the smallest value with at least that share of the group's values up to it. Mergeable summaries
+    of at most ``accuracy`` cut each group into parts, whose counts say which part holds the percentile; only the values
+    of that part are sorted, so one large group stays small. The cuts decide the size of the parts, not the result.
     """
-    col = F.col(field)
-    stats = [
-        F.count(col).alias("value_count"),
-        F.sum(col).alias("value_sum"),
-        F.avg(col).alias("value_avg"),
-        F.min(col).alias("value_min"),
-        F.max(col).alias("value_max"),
-        *[
-            F.percentile_approx(col, p, accuracy).alias(f"p{format(p * 100, 'g').replace('.', '_')}")
-            for p in percentiles
-        ],
-    ]
-    grouped = df.groupBy(F.col(searchable(by)).alias("key")) if by else df.groupBy()
-    return grouped.agg(*stats)
+    rows = df.select((F.col(searchable(by)) if by else F.lit(True)).alias("key"), F.col(field).alias("_x"))
+    grouped = rows.groupBy("key") if by else rows.groupBy()
+    stats = grouped.agg(
+        F.count("_x").alias("value_count"),
+        F.sum("_x").alias("value_sum"),
+        F.avg("_x").alias("value_avg"),
+        F.min("_x").alias("value_min"),
+        F.max("_x").alias("value_max"),
+    )
+    if percentiles:
+        found = _percentiles(rows, percentiles, accuracy).withColumnRenamed("key", "_key")
+        stats = stats.join(found, F.col("key").eqNullSafe(F.col("_key")) if by else F.lit(True), "left").drop("_key")
+    return stats
+
+
+def _percentiles(rows: DataFrame, percentiles: Sequence[float], accuracy: int) -> DataFrame:
+    """One row per ``key`` with a column for each percentile of ``_x``."""
+    names = {p: f"p{format(p * 100, 'g').replace('.', '_')}" for p in percentiles}
+    known = rows.where(F.col("_x").isNotNull())
+    cuts = known.groupBy(F.col("key").alias("_key")).agg(
+        F.percentile_approx("_x", [i / PARTS for i in range(1, PARTS)], accuracy).alias("_cuts"), F.count("_x").alias("_n")
+    )
+    values = known.groupBy("key", "_x").agg(F.count("_x").alias("_rows"))
+    part = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
+    values = values.join(cuts, F.col("key").eqNullSafe(F.col("_key"))).select("key", "_x", "_rows", "_n", part.alias("_part"))
+
+    parts = values.groupBy("key", "_part").agg(F.sum("_rows").alias("_rows"), F.first("_n").alias("_n"))
+    before = F.sum("_rows").over(Window.partitionBy("key").orderBy("_part")) - F.col("_rows")
+    rank = lambda p: F.greatest(F.ceil(F.lit(Decimal(str(p))) * F.col("_n")).cast("bigint"), F.lit(1).cast("bigint"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(p).alias("rank")) for p, name in names.items()]))
+    ranked = parts.withColumn("_before", before).withColumn("_p", wanted)
+    holds = (F.col("_before") < F.col("_p.rank")) & (F.col("_p.rank") <= F.col("_before") + F.col("_rows"))
+    holding = ranked.where(holds).select(
+        F.col("key").alias("_key"), F.col("_part").alias("_in"), F.col("_p.name").alias("_name"), (F.col("_p.rank") - F.col("_before")).alias("_rank")
+    )
+    inside = values.join(holding, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_in")))
+    upto = F.sum("_rows").over(Window.partitionBy("key", "_name").orderBy("_x"))
+    at = inside.withColumn("_upto", upto).where(F.col("_upto") >= F.col("_rank"))
+    return at.groupBy("key").agg(*[F.min(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name in names.values()])
 
 
 def cardinality(df: DataFrame, field: str, exact: bool = False, rsd: float = 0.02) -> DataFrame:

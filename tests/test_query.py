@@ -52,6 +52,19 @@ def test_numbers(docs):
     assert mood == {"2022-05-02": (1, 0, 0.5), "2022-07-04": (0, 1, None)}
 
 
+def test_percentiles_are_exact(spark):
+    # 20 summary entries cannot tell neighbouring values apart
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "a").alias("lang"), (F.col("id") * 7919 % 20_011).alias("x"))
+    rows = rows.unionByName(spark.sql("SELECT 'b' AS lang, CAST(NULL AS BIGINT) AS x"))
+    got = {r["key"]: (r["value_count"], r["p50"], r["p95"]) for r in Q.metric_stats(rows, "x", by="lang", accuracy=20).collect()}
+    for key, first in (("a", 0), (None, 1)):
+        values = sorted(i * 7919 % 20_011 for i in range(first, 20_000, 2))
+        assert got[key] == (10_000, values[4_999], values[9_499])
+    assert got["b"] == (0, None, None)
+    whole = sorted(i * 7919 % 20_011 for i in range(20_000))
+    assert Q.metric_stats(rows, "x", accuracy=20).first()["p95"] == whole[18_999]
+
+
 def test_range_prunes_months(docs, spark):
     path = new_shared_path(spark, "gold")
     docs.write.partitionBy("month").parquet(path)
