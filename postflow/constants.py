@@ -17,6 +17,9 @@ HTML_UNESCAPES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 WHITESPACE_PATTERN = (
     r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 )
+#: The characters of that pattern besides blank and line feed.
+ASCII_BLANKS = ("\t", "\r", "\x0b", "\x0c")
+OTHER_BLANKS = tuple(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 # --- fixed values: routing and filters ---------------------------------------------------
 DENIED_CONTEXT_DOMAINS = (

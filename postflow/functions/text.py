@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,10 +38,28 @@ def collapse_space(text: Column) -> Column:
     return F.rtrim(F.regexp_replace(text, pattern, " "))
 
 
-def normalize_text(text: Column) -> Column:
+def by_patterns(text: Column) -> Column:
+    """The normalisation, step by step."""
     return collapse_space(unescape_html(strip_urls(strip_retweet(text))))
 
 
+def is_plain(text: Column) -> Column:
+    """Whether nothing but blanks and line feeds can change; looking for characters is many times faster than patterns."""
+    none_of = lambda parts: reduce(and_, [~F.contains(text, F.lit(part)) for part in parts])
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return ~F.startswith(text, F.lit("RT ")) & none_of(("&", "http", *K.ASCII_BLANKS)) & (ascii_only | none_of(K.OTHER_BLANKS))
+
+
+def normalize_text(text: Column) -> Column:
+    """Without the retweet prefix and URLs, with entities as characters and runs of white space as one blank.
+
+    ``text`` should be a column of its own: it is looked at several times.
+    """
+    lines = F.replace(text, F.lit("\n"), F.lit(" "))
+    plain = F.when(F.contains(lines, F.lit("  ")), F.regexp_replace(lines, "  +", " ")).otherwise(lines)
+    return F.when(is_plain(text), F.rtrim(plain)).otherwise(by_patterns(text))
+
+
 def content_key(normalized: Column) -> Column:
     """Cache key of a normalised text."""
     return F.sha2(normalized, 256)
@@ -61,7 +81,7 @@ def fold_width(text: Column) -> Column:
     """Full-width ASCII to ASCII, half-width katakana to katakana (the compatibility forms of Unicode)."""
     narrow = _FULL_WIDTH + _HALF_KANA
     # most texts have none of these characters, and looking is cheaper than translating
-    affected = text.rlike(r"[\x{FF01}-\x{FF9F}]")
+    affected = (F.octet_length(text) != F.char_length(text)) & text.rlike(r"[\x{FF01}-\x{FF9F}]")
     folded = F.translate(text, narrow, "".join(unicodedata.normalize("NFKC", c) for c in narrow))
     voiced = folded
     for kana in map(chr, range(0x30A1, 0x30FB)):
@@ -69,7 +89,7 @@ def fold_width(text: Column) -> Column:
             composed = unicodedata.normalize("NFC", kana + combining)
             if len(composed) == 1:
                 voiced = F.replace(voiced, F.lit(kana + mark), F.lit(composed))
-    return F.when(affected & text.rlike("[ﾞﾟ]"), voiced).when(affected, folded).otherwise(text)
+    return F.when(~affected, text).when(text.rlike("[ﾞﾟ]"), voiced).otherwise(folded)
 
 
 def _alternation(terms: Iterable[str]) -> str | None:

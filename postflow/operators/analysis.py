@@ -89,10 +89,11 @@ def pattern_entities(text: Column, words: Column, dictionary: Mapping[str, str])
     def matches(pattern: str, kind: str, score: float) -> Column:
         return tagged(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), kind, score)
 
+    # most characters are no digits, which is seen faster than what stands before them
     groups = [
         matches(r"@\w+", "PERSON", 0.99),
-        matches(r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])", "DATE", 0.99),
-        matches(r"(?<![\w-])\d+(?![\w-])", "QUANTITY", 0.9),
+        matches(r"(?=\d)(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])", "DATE", 0.99),
+        matches(r"(?=\d)(?<![\w-])\d+(?![\w-])", "QUANTITY", 0.9),
     ]
     by_kind: dict[str, list[str]] = {}
     for term, kind in dictionary.items():

@@ -1,12 +1,15 @@
 import base64
 import hashlib
 import json
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from postflow import constants as K
 from postflow import schemas
 from postflow.functions import keys
 from postflow.functions import text as X
@@ -118,3 +121,16 @@ def test_result_encoding(spark, with_scores):
     assert wire["NormalizedText"] == "hi" and ("Sentiment" in wire) == with_scores
     assert row["r"] == row["o"]
     assert spark.range(1).select(result.cast(schemas.ANALYSIS)).schema[0].dataType == schemas.ANALYSIS
+
+
+def test_plain_texts_need_no_patterns(spark):
+    blanks = [" ", "\n", *K.ASCII_BLANKS, *K.OTHER_BLANKS]
+    assert all(re.fullmatch(r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]", c) for c in blanks)
+    rng = random.Random(3)
+    parts = [*blanks, " ", "\n", "a", "é", "漢", "😀", "\u200b", "\x85", "\x1c", "RT ", "&amp;", "&lt;", "http://x/y", "https://", "http", "."]
+    texts = [None, "", " ", "\n", "RT ", " a\n\n b \n", "é  b\n", "a b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", X.normalize_text(F.col("t")).alias("a"), X.by_patterns(F.col("t")).alias("b"), X.is_plain(F.col("t")).alias("plain"))
+    rows = rows.collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    plain = {r.t for r in rows if r.plain}
+    assert {" a\n\n b \n", "é  b\n", "a b"} <= plain and not any(c in t for t in plain for c in ("&", "http", *blanks[2:]))
