@@ -5,9 +5,9 @@ random bit for j and the character says. Two windows with few edits between them
 few of their written characters differ: edit distance becomes Hamming distance.
 
 **LSH.** The key of a window is its characters at a few sampled steps. Each of ``REPEATS`` repetitions has bits and
-samples of its own. An item is cut into overlapping windows that together span it, so a window without or with harmless
-edits is enough, and the chance that none of them meets its key falls with the power of windows times repetitions. The
-windows of documents start at pairs of words with which windows of items start.
+samples of its own. Windows start at every word of items and at every word of documents, so one of them without or with
+harmless edits is enough, and the chance that none meets its key falls with the power of windows times repetitions. A
+walk over a document ends early where no item has the characters sampled so far; that changes no result.
 
 **Verification.** A document and an item that share a key are aligned around its place: the item against any part of
 the text there, with edits at most a fifth of the item's length, exactly, by a bit-parallel distance.
@@ -26,7 +26,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -39,92 +40,153 @@ from postflow.llm.common import bound_batches, exact_id, text_of
 #: Most edits, as a share of an item's length.
 MAX_EDITS = 0.2
 MIN_CHARS = 16
-REPEATS = 4
-WINDOWS = 12
+REPEATS = 3
 #: Steps of the walk and sampled steps, for items of at least so many characters.
-WALKS = ((64, 96, 12), (MIN_CHARS, 22, 8))
+WALKS = ((48, 40, 12), (MIN_CHARS, 22, 8))
+#: After so many sampled steps a walk ends if no item has these characters, and the bits of the table that says so.
+SIEVED = (2, 3, 4, 6)
+SIEVE_BITS = 20
 SEED = 20240229
-#: Texts whose windows walk together.
-TEXTS = 256
+#: Characters of texts whose windows walk together (one text at least), and alignments that go on together.
+PART_CHARS = 4 << 20
+ALIGNED = 1024
 BLOCK_ITEMS = 50_000
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 8 << 20
 
-_WORDS = re.compile(r"[^\W_]+")
+_NO_WORDS = re.compile(r"[\W_]+")
 
 
-class Walk(NamedTuple):
-    """One repetition: ``bits[step, character]`` and the sampled steps."""
+class Walk:
+    """One repetition: ``bits[step, character]``, the sampled steps, and what the items have at the first of these."""
 
-    bits: np.ndarray
-    sampled: np.ndarray
+    def __init__(self, bits: np.ndarray, sampled: np.ndarray):
+        self.bits = bits
+        self.sampled = sampled
+        self.sieves = {n: np.zeros(1 << SIEVE_BITS, dtype=bool) for n in SIEVED if n < len(sampled)}
 
-    def keys(self, characters: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of windows, and whether their walks stay before ``end``. Characters are padded with zeros."""
-        at = starts.astype(np.int64)
-        last = len(characters) - 1
+    def keys(self, characters: np.ndarray, starts: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which windows reach their end, their keys, and where they end. Characters are padded with zeros.
+
+        With ``learn`` all do, and the sieves remember them.
+        """
+        places = np.arange(len(starts))
+        at = starts.astype(np.int32)
+        last = np.int32(len(characters) - 1)
         key = np.zeros(len(at), dtype=np.uint64)
-        sampled = set(self.sampled.tolist())
+        sampled, n = set(self.sampled.tolist()), 0
         for step in range(int(self.sampled[-1]) + 1):
             here = characters[at]
             if step in sampled:
-                key = key * np.uint64(0x9E3779B97F4A7C15) + here.astype(np.uint64) + np.uint64(1)
-            at = np.minimum(at + self.bits[step, here], last)
-        return key ^ (key >> np.uint64(32)), at <= end
+                key = key * np.uint64(0x9E3779B97F4A7C15) + here + np.uint64(1)
+                n += 1
+                if n in self.sieves:
+                    hashed = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - SIEVE_BITS)
+                    if learn:
+                        self.sieves[n][hashed] = True
+                    else:
+                        left = np.flatnonzero(self.sieves[n][hashed])
+                        places, at, key, here = places[left], at[left], key[left], here[left]
+            at = np.minimum(at + self.bits[step][here], last)
+        return places, key ^ (key >> np.uint64(32)), at
 
 
 def walks(steps: int, samples: int) -> list[Walk]:
     random = np.random.default_rng([SEED, steps])
     return [
-        Walk(random.integers(0, 2, (steps, 256), dtype=np.int64), np.sort(random.choice(steps, samples, replace=False)))
+        Walk(random.integers(0, 2, (steps, 256), dtype=np.int32), np.sort(random.choice(steps, samples, replace=False)))
         for _ in range(REPEATS)
     ]
 
 
+def _normal(text: str) -> str:
+    return _NO_WORDS.sub(" ", text.lower()).strip(" ")
+
+
 def normalised(text: str) -> tuple[list[str], str]:
-    words = _WORDS.findall(text.lower())
-    return words, " ".join(words)
+    """The words of a text, and these with single spaces between."""
+    normal = _normal(text)
+    return normal.split(), normal
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def _characters(text: str) -> np.ndarray:
     """Characters as bytes, with one zero behind them."""
-    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    points = _points(text)
     return np.append((points ^ (points >> 8)) & 0xFF, 0).astype(np.uint8)
 
 
-def _word_starts(words: list[str]) -> np.ndarray:
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    return np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if len(words) else lengths
+def _word_starts(text: str) -> np.ndarray:
+    """Where the words of a normalised text start."""
+    points = _points(text)
+    return np.append(0, np.flatnonzero(points == 32) + 1) if len(points) else np.empty(0, dtype=np.int64)
 
 
 def best_match(item: str, text: str, most: int) -> tuple[int, int] | None:
-    """Fewest edits between ``item`` and any part of ``text``, if at most ``most``, and where that part ends.
+    """Fewest edits between ``item`` and any part of ``text``, if at most ``most``, and where that part first ends."""
+    edits, end = best_matches([(item, text)])[0]
+    return (edits, end) if end and edits <= most else None
+
 
-    Bit-parallel: two bit vectors hold the differences down a column of the distance matrix.
+def best_matches(pairs: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """For each pair (item, text) the fewest edits between the item and any part of the text, and where it ends.
+
+    Bit-parallel: bit vectors hold the differences down a column of the distance matrix, 64 rows in a word; pairs whose
+    items have as many words go through their texts together.
     """
-    n = len(item)
-    full = (1 << n) - 1
-    top = 1 << (n - 1)
-    where: dict[str, int] = {}
-    for i, c in enumerate(item):
-        where[c] = where.get(c, 0) | (1 << i)
-    up, down, edits = full, 0, n
-    best = None
-    for j, c in enumerate(text):
-        match = where.get(c, 0)
-        diagonal = (((match & up) + up) ^ up) | match | down
-        plus = down | (~(diagonal | up) & full)
-        minus = up & diagonal
-        if plus & top:
-            edits += 1
-        elif minus & top:
-            edits -= 1
-        plus = (plus << 1) & full
-        minus = (minus << 1) & full
-        up = minus | (~(diagonal | plus) & full)
-        down = plus & diagonal
-        if edits <= most and (best is None or edits < best[0]):
-            best = edits, j + 1
-    return best
+    found = [(0, 0)] * len(pairs)
+    by_size: dict[int, list[int]] = {}
+    for k in sorted(range(len(pairs)), key=lambda k: len(pairs[k][1])):
+        by_size.setdefault(-(-len(pairs[k][0]) // 64), []).append(k)
+    for size, members in by_size.items():
+        for i in range(0, len(members), ALIGNED):
+            some = members[i : i + ALIGNED]
+            for k, edits, end in zip(some, *_aligned([pairs[k] for k in some], size)):
+                found[k] = edits, end
+    return found
+
+
+def _aligned(pairs: list[tuple[str, str]], size: int) -> tuple[list[int], list[int]]:
+    one = np.uint64(1)
+    numbers = {item: n for n, item in enumerate(dict.fromkeys(item for item, _ in pairs))}
+    points = np.unique(_points("".join(numbers)))
+    masks = np.zeros((size, len(numbers), len(points) + 1), dtype=np.uint64)
+    for item, n in numbers.items():
+        for i, c in enumerate(np.searchsorted(points, _points(item)).tolist()):
+            masks[i // 64, n, c] |= one << np.uint64(i % 64)
+    # characters of no item, and those behind a text, match nothing: they end no part with fewer edits
+    texts = np.full((len(pairs), max(len(t) for _, t in pairs)), len(points), dtype=np.int32)
+    for row, (_, text) in zip(texts, pairs):
+        here = _points(text)
+        at = np.minimum(np.searchsorted(points, here), len(points) - 1)
+        row[: len(here)] = np.where(points[at] == here, at, len(points))
+    own = np.array([numbers[item] for item, _ in pairs], dtype=np.int32) * np.int32(len(points) + 1)
+    texts = np.ascontiguousarray((texts + own[:, None]).T)
+    masks = masks.reshape(size, -1)
+    lengths = np.array([len(item) for item, _ in pairs])
+    top = ((lengths - 1) % 64).astype(np.uint64)
+    up = [np.full(len(pairs), ~np.uint64(0)) for _ in range(size)]
+    down = [np.zeros(len(pairs), dtype=np.uint64) for _ in range(size)]
+    edits, best, ends = lengths.copy(), lengths.copy(), np.zeros(len(pairs), dtype=np.int64)
+    for j, here in enumerate(texts, 1):
+        more = less = np.uint64(0)
+        for w in range(size):
+            match, u, d = masks[w].take(here), up[w], down[w]
+            either = match | d
+            match = match | less
+            diagonal = (((match & u) + u) ^ u) | match
+            plus, minus = d | ~(diagonal | u), u & diagonal
+            shift = np.uint64(63) if w < size - 1 else top
+            out_more, out_less = (plus >> shift) & one, (minus >> shift) & one
+            plus, minus = (plus << one) | more, (minus << one) | less
+            up[w], down[w] = minus | ~(either | plus), plus & either
+            more, less = out_more, out_less
+        edits += more.astype(np.int64) - less.astype(np.int64)
+        better = edits < best
+        best[better], ends[better] = edits[better], j
+    return best.tolist(), ends.tolist()
 
 
 class Index:
@@ -132,51 +194,40 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], steps: int, samples: int):
         self.walks = walks(steps, samples)
-        #: The first word of windows and the second words behind it; none where the item ends.
-        self.beginnings: dict[str, set[str]] = {}
-        entries: list[list[tuple[np.ndarray, np.ndarray, int]]] = [[] for _ in self.walks]
-        for number, (_, text) in enumerate(items):
-            words = text.split(" ")
-            starts = _word_starts(words)
-            room = max(0, len(text) - int(0.6 * steps))
-            able = [k for k in range(len(words)) if starts[k] <= room]
-            # spread over the item; of neighbours the pair of words with most letters, as long words are rare
-            parts = np.array_split(np.array(able), min(WINDOWS, len(able)))
-            chosen = [max(part.tolist(), key=lambda k: sum(map(len, words[k : k + 2]))) for part in parts]
-            for k in chosen:
-                self.beginnings.setdefault(words[k], set()).update(words[k + 1 : k + 2] or [""])
-            at = starts[chosen]
-            for repeat, walk in enumerate(self.walks):
-                keys, inside = walk.keys(_characters(text), at, len(text) - 1)
-                entries[repeat].append((keys[inside], at[inside], number))
+        self.lengths = np.array([len(text) for _, text in items])
+        starts = [_word_starts(text) for _, text in items]
+        starts = [at[at <= max(0, n - int(0.6 * steps))] for at, n in zip(starts, self.lengths)]
+        # the items lie one behind the other, with zeros between them
+        sizes = self.lengths + 1
+        first = np.cumsum(sizes) - sizes
+        characters = np.concatenate([*[_characters(text) for _, text in items], np.zeros(1, dtype=np.uint8)])
+        numbers = np.repeat(np.arange(len(items), dtype=np.int32), [len(at) for at in starts])
+        offsets = np.concatenate(starts).astype(np.int32)
         self.tables = []
-        for of_items in entries:
-            keys = np.concatenate([k for k, _, _ in of_items])
-            at = np.concatenate([a for _, a, _ in of_items])
-            number = np.concatenate([np.full(len(k), n) for k, _, n in of_items])
+        for walk in self.walks:
+            _, keys, ends = walk.keys(characters, offsets + first[numbers], learn=True)
+            inside = ends < first[numbers] + self.lengths[numbers]
+            keys, at, number = keys[inside], offsets[inside], numbers[inside]
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], at[order], number[order]))
 
-    def beginning(self, words: list[str]) -> list[int]:
-        """Where windows can start."""
-        known = self.beginnings
-        return [i for i, w in enumerate(words) if w in known and ("" in known[w] or (words[i + 1] if i + 1 < len(words) else "") in known[w])]
-
-    def places(self, starts: np.ndarray, characters: np.ndarray) -> set[tuple[int, int, int]]:
-        """(place in ``starts``, item, where the item would begin in ``characters``)."""
-        found: set[tuple[int, int, int]] = set()
+    def places(self, starts: np.ndarray, characters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in ``starts``, item, and where the item would begin in ``characters``."""
+        found = []
         for walk, (keys, offsets, numbers) in zip(self.walks, self.tables):
-            own, _ = walk.keys(characters, starts, len(characters))
+            windows, own, _ = walk.keys(characters, starts)
             left, right = np.searchsorted(keys, own, side="left"), np.searchsorted(keys, own, side="right")
-            for k in np.flatnonzero(right > left):
-                found.update((int(k), int(numbers[e]), int(starts[k] - offsets[e])) for e in range(left[k], right[k]))
-        return found
+            counts = right - left
+            entry = np.repeat(right - np.cumsum(counts), counts) + np.arange(counts.sum())
+            window = np.repeat(windows, counts)
+            found.append((window, numbers[entry], starts[window] - offsets[entry]))
+        return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
 class Detector:
     def __init__(self, items: list[tuple[int, str]], max_edits: float):
         self.max_edits = max_edits
-        normal = sorted({(i, normalised(text)[1]) for i, text in items if text is not None})
+        normal = sorted({(i, _normal(text)) for i, text in items if text is not None})
         self.groups = []
         above = float("inf")
         for least, steps, samples in WALKS:
@@ -190,48 +241,51 @@ class Detector:
 
         The windows of all texts walk together; the texts lie one behind the other, with a zero between them.
         """
-        words, normal = zip(*map(normalised, texts)) if texts else ((), ())
+        normal = list(map(_normal, texts))
         sizes = np.fromiter((len(t) + 1 for t in normal), dtype=np.int64, count=len(normal))
         first = np.cumsum(sizes) - sizes
         characters = np.concatenate([*map(_characters, normal), np.zeros(1, dtype=np.uint8)])
+        starts = [_word_starts(t) for t in normal]
+        owner = np.repeat(np.arange(len(texts)), [len(at) for at in starts])
+        starts = np.concatenate([*starts, np.empty(0, dtype=np.int64)]).astype(np.int64) + first[owner]
         best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         for items, index in self.groups:
-            starts, owners = [], []
-            for k, ws in enumerate(words):
-                some = index.beginning(ws)
-                if some:
-                    starts.append(_word_starts(ws)[some] + first[k])
-                    owners.append(np.full(len(some), k))
-            if not starts:
-                continue
-            owner = np.concatenate(owners)
-            by_text: dict[int, set[tuple[int, int]]] = {}
-            for k, number, place in index.places(np.concatenate(starts), characters):
-                by_text.setdefault(int(owner[k]), set()).add((number, place - int(first[owner[k]])))
-            for k, places in by_text.items():
-                self._verify(normal[k], sorted(places), items, best[k])
+            window, number, place = index.places(starts, characters)
+            places = np.unique(np.stack([owner[window], number, place - first[owner[window]]]), axis=1)
+            self._verify(normal, places.T.tolist(), items, best)
         return [[(item, start, edits) for item, (edits, start) in sorted(b.items())] for b in best]
 
-    def _verify(self, text: str, places: list[tuple[int, int]], items: list[tuple[int, str]], best: dict[int, tuple[int, int]]) -> None:
-        done: dict[int, list[int]] = {}
-        for number, place in places:
-            item_id, item = items[number]
+    def _verify(self, texts: list[str], places: list[list[int]], items: list[tuple[int, str]], best: list[dict[int, tuple[int, int]]]) -> None:
+        """``places`` (text, item, where it would begin) are sorted."""
+        found, open_ = [], []
+        done = None
+        for k, number, place in places:
+            item = items[number][1]
             most = int(self.max_edits * len(item))
             # one alignment covers all places that are off by less than the edits it allows
-            if any(abs(place - p) <= most // 2 for p in done.setdefault(number, [])):
+            if done is not None and done[:2] == (k, number) and place - done[2] <= most // 2:
                 continue
-            done[number].append(place)
-            low, high = max(0, place - 2 * most), max(0, place + len(item) + 2 * most)
-            exact = text.find(item, low, high)
-            match = (0, exact - low + len(item)) if exact >= 0 else best_match(item, text[low:high], most)
-            if match is not None:
-                edits, end = match
-                best[item_id] = min(best.get(item_id, (most + 1, 0)), (edits, max(0, low + end - len(item))))
+            done = k, number, place
+            off = most + most // 2
+            low, high = max(0, place - off), max(0, place + len(item) + off)
+            exact = texts[k].find(item, low, high)
+            if exact >= 0:
+                found.append((k, number, 0, exact))
+            elif low < len(texts[k]):
+                open_.append((k, number, low, high))
+        aligned = best_matches([(items[number][1], texts[k][low:high]) for k, number, low, high in open_])
+        for (k, number, low, _), (edits, end) in zip(open_, aligned):
+            found.append((k, number, edits, max(0, low + end - len(items[number][1]))))
+        for k, number, edits, start in found:
+            item_id, item = items[number]
+            if edits <= int(self.max_edits * len(item)):
+                best[k][item_id] = min(best[k].get(item_id, (edits, start)), (edits, start))
 
 
 def _in_parts(detect: Detector, texts: list[str]) -> Iterator[list[tuple[int, int, int]]]:
-    for i in range(0, len(texts), TEXTS):
-        yield from detect.leaks(texts[i : i + TEXTS])
+    part = np.cumsum([len(t) for t in texts]) // PART_CHARS
+    for _, some in groupby(zip(part.tolist(), texts), key=itemgetter(0)):
+        yield from detect.leaks([t for _, t in some])
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -98,3 +98,27 @@ def test_edge_rows_and_blocks(spark, monkeypatch):
     assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()) == [3, 4]
     assert decontaminate.leaks(docs, bench.where("false")).collect() == []
     assert decontaminate.leaks(docs.where("false"), bench).collect() == []
+
+
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+def test_recall_up_to_the_bound(spark, items, share):
+    """Windows start at every word, so an item is found wherever its edits are."""
+    random.seed(5)
+    prose = [r.text for r in read(spark, "/root/testdata/sf0.01", "documents").limit(60).collect()]
+    detect = Detector(items, 0.2)
+    found = 0
+    for item_id, text in items:
+        around = random.choice(prose)
+        cut = random.randrange(len(around))
+        doc = around[:cut] + "\n" + edited(normalised(text)[1], share) + "\n" + around[cut:]
+        found += item_id in [leak[0] for leak in detect.leaks([doc])[0]]
+    assert found >= 0.9 * len(items)
+
+
+def test_alignments_of_many_words_of_bits():
+    random.seed(3)
+    pairs = []
+    for n in (1, 63, 64, 65, 128, 129, 200) * 6:
+        item = "".join(random.choice("abc ") for _ in range(n))
+        pairs.append((item, "".join(random.choice("abcd ") for _ in range(random.randint(0, 60))) + edited(item, 0.15)))
+    assert [edits for edits, _ in decontaminate.best_matches(pairs)] == [distance(*pair) for pair in pairs]
