@@ -95,3 +95,22 @@ def test_packer_closes_full_windows(seed):
     assert sum(sizes) + sum(p.length for p in left) == packer.tokens
     packer.close(left)
     assert sum(s not in (64, 32, 16, 8) for s in map(lambda w: sum(p.length for p in w), packer.full)) <= 1
+
+
+def test_pieces_have_the_ids_of_the_library(monkeypatch):
+    """Letters, digits and signs apart, in plain Latin texts and in others; each distinct piece is encoded once."""
+    model = Path(queries.tokenizer_path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    tokenizer = Tokenizer.from_str(model)
+    plain = list("abcXYZ'strevmld \t\n\r\x0b\x0c0123!?#$%&*|<>_-.,\"ÀÉéñßÿø÷×")
+    others = [*plain, "Σ", "ς", "你", "²", "\x85", "\xa0", "\x1c", "é", "<|endoftext|>", "İ", "µ", "ª"]
+    random.seed(6)
+    texts = ["".join(random.choice(plain if k % 2 else others) for _ in range(random.randint(0, 60))) for k in range(4000)]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    packing.word_encoder.cache_clear()
+    assert packing.word_encoder(model)(texts) == want
+    encoded = []
+    tokenize = packing._PieceIds.__missing__
+    monkeypatch.setattr(packing._PieceIds, "__missing__", lambda self, piece: encoded.append(piece) or tokenize(self, piece))
+    packing.word_encoder.cache_clear()
+    packing.word_encoder(model)(["Word, word. (WORD) word", "word!"])
+    assert sorted(encoded) == sorted(["word", ",", ".", "(", ")", "!"])
