@@ -107,7 +107,10 @@ def dedupe_null_time(spark, d):
 def batch_archive(spark, d):
     """One batch to the archive and its error branch, written twice as after a retry."""
     out, errors = new_shared_path(spark, "bronze"), new_shared_path(spark, "errors")
-    events = B.bus_events(spark, d)
+    # each branch and the retry read the batch from its source; its rows are not joined again
+    batch, source = B.bus_events(spark, d), new_shared_path(spark, "batch")
+    batch.write.parquet(source)
+    events = spark.read.schema(batch.schema).parquet(source)
     for _ in range(2):
         write_bronze(events, out, "b0", errors)
     good = read_archive(spark, out).select(F.col("data.id").alias("id"), F.lit(0).alias("failed"))

@@ -136,3 +136,18 @@ def test_failover(spark):
     assert taken == ["second", "first"]
     with pytest.raises(RuntimeError):
         write_with_failover(rows, {"a": broken})
+
+
+def test_batch_archive_joins_its_batch_once(spark, monkeypatch):
+    """Both branches and the retry read the rows of the batch; none of them joins posts and documents again."""
+    from postflow.plans.queries import streams
+
+    plans = []
+
+    def write(events, *args):
+        plans.append(events._jdf.queryExecution().optimizedPlan().toString())
+        write_bronze(events, *args)
+
+    monkeypatch.setattr(streams, "write_bronze", write)
+    assert streams.batch_archive(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 2 and not any("Join" in plan for plan in plans)
