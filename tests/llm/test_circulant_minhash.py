@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postflow.llm import circulant_minhash as op
-from postflow.llm import queries
+from postflow.llm import ngram_join, queries
 from postflow.llm.common import read
 from postflow.llm.ngram_join import shingles
 
@@ -131,6 +132,17 @@ def test_other_likeness_empty_table_and_columns(spark):
     assert got(op.near_duplicates(df.where("false"))) == []
 
 
+def test_a_worker_keeps_the_hashes_of_some_words_only(monkeypatch):
+    """Workers are used again: what they keep must not grow with all the words they have seen."""
+    monkeypatch.setattr(ngram_join, "MAX_WORDS", 50)
+    texts = [" ".join(f"w{i * 40 + k}" for k in range(40)) for i in range(5)] + [" ".join(f"v{k}" for k in range(300)) + " " + "x" * 5000]
+    ngram_join._hashes.clear()
+    sets = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    for step in (op._signed(3), op._hashed(3)):
+        list(step(iter([sets])))
+        assert len(ngram_join._hashes) <= 50 and max(map(len, ngram_join._hashes)) <= 64
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_registered_query_equals_brute_force(spark, sf):
     path = f"/root/testdata/{sf}"
